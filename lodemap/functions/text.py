@@ -33,7 +33,7 @@ def basename(p: Column | str) -> Column:
 
 def file_extension(p: Column | str) -> Column:
     """Lower-cased, with the dot; a leading dot is not an extension."""
-    return F.lower(F.regexp_extract(basename(p), r"(?s)^.+(\.[^.]*)$", 1))
+    return F.lower(F.regexp_extract(col(p), r"[^/](\.[^./]*)$", 1))
 
 
 def stem(p: Column | str) -> Column:
@@ -80,7 +80,7 @@ def is_safe_relative(p: Column | str) -> Column:
 
 def dotfile_key(p: Column | str) -> Column:
     """``.env`` for ``.env.local``; null for names that do not start with a dot and a letter or digit."""
-    return F.nullif(F.lower(F.regexp_extract(basename(p), r"^\.[\p{L}\p{N}]+", 0)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(col(p), r"(?:^|/)(\.[\p{L}\p{N}]+)[^/]*$", 1)), F.lit(""))
 
 
 # --- names and text ------------------------------------------------------
