@@ -50,3 +50,11 @@ def first_rows(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataF
     """The first ``n`` rows per group; Spark keeps only ``n`` per group and task before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def cap_rows(df: DataFrame, keys: list[str], order: list, n: int) -> tuple[DataFrame, DataFrame]:
+    """(rows kept, groups cut): the first ``n`` rows of every group; only groups over ``n`` are ranked at all."""
+    over = df.groupBy(*keys).agg(F.count("*").alias("total")).filter(F.col("total") > n)
+    big = df.join(over.select(*keys), keys, "left_semi")
+    kept = number_rows(big, keys, order, "_pos").filter(F.col("_pos") <= n).drop("_pos")
+    return df.join(over.select(*keys), keys, "left_anti").unionByName(kept), over

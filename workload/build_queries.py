@@ -251,16 +251,13 @@ def q_frameworks(spark, sf):
 
 
 S_FRAMEWORKS = duck(f"""with m as ({MANIFESTS}),
- js as (select repo_id, arg_min(lower(content), path <> 'package.json', path) as t from (select * from m where path like '%package.json' order by 1)
-   group by 1), j as (select repo_id, lower(arg_min(content, (case when path = 'package.json' then '0' else '1' end) || path)) as t
+ j as (select repo_id, lower(arg_min(content, (case when path = 'package.json' then '0' else '1' end) || path)) as t
   from m where path like '%package.json' group by 1),
  p as (select repo_id, lower(arg_min(content, case when path = 'requirements.txt' then 0 else 1 end)) as t from m
   where path in ('requirements.txt', 'pyproject.toml') group by 1)
  select repo_id, f as framework, cast(o as integer) as framework_ord from j, (values ('React', 3, 'react'), ('Next.js', 4, '"next":'), ('Express', 5, '"express":'), ('Vue', 6, 'vue')) v(f, o, k)
   where contains(t, k) union all
- select repo_id, f, cast(o as integer) from p, (values ('Django', 0, 'django'), ('FastAPI', 1, 'uvicorn'), ('Flask', 2, 'flask')) v(f, o, k) where contains(t, k)""".replace(
-    """ js as (select repo_id, arg_min(lower(content), path <> 'package.json', path) as t from (select * from m where path like '%package.json' order by 1)
-   group by 1), j as""", " j as"))
+ select repo_id, f, cast(o as integer) from p, (values ('Django', 0, 'django'), ('FastAPI', 1, 'uvicorn'), ('Flask', 2, 'flask')) v(f, o, k) where contains(t, k)""")
 
 QUERIES = {
     "resolve_tsjs": (q_tsjs, S_TSJS),
