@@ -104,9 +104,9 @@ def newline_count(text: Column | str) -> Column:
 
 
 def slug(text: Column | str) -> Column:
-    """Lower-case letters and digits with single dashes, at most 60 characters."""
+    """Lower-case letters and digits with single dashes, at most 60 characters; ``domain`` when nothing is left."""
     dashed = F.regexp_replace(F.lower(col(text)), r"[^\p{L}\p{N}]+", "-")
-    return F.left(F.regexp_replace(dashed, r"^-+|-+$", ""), F.lit(60))
+    return F.left(F.coalesce(F.nullif(F.regexp_replace(dashed, r"^-+|-+$", ""), F.lit("")), F.lit("domain")), F.lit(60))
 
 
 def loosely(text: Column | str) -> Column:

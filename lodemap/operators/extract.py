@@ -55,26 +55,33 @@ def _token_pattern(name: str) -> str:
     return "|".join(parts + [f"[^{starts}]+", r"[\s\S]"])
 
 
-def _starts(t: Column, openers: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [t.startswith(o) for o in openers], F.lit(False))
+def _array(items: list[str]) -> Column:
+    return F.array(*[F.lit(i) for i in items])
 
 
 def lex(files: DataFrame) -> DataFrame:
-    """Adds ``text`` (comments blanked) and ``structure`` (strings blanked too); offsets stay those of ``content``."""
-    syntax = lookup("language", P.SYNTAX_OF)
-    text, structure = F.col("content"), F.col("content")
-    for name, (line, block, quotes, multi, _) in P.SYNTAX.items():
-        tokens = F.regexp_extract_all("content", F.lit(_token_pattern(name)), 0)
-        comment, string = [*line, *[o for o, _ in block]], [*quotes, *[o for o, _ in multi]]
-
-        def view(also: list[str], tokens=tokens, comment=comment) -> Column:
-            return F.array_join(F.transform(tokens, lambda t: F.when(
-                _starts(t, [*comment, *also]), F.regexp_replace(t, r"[^\n]", " ")).otherwise(t)), "")
-
-        here = F.col("_syntax") == name
-        text = F.when(here, view([])).otherwise(text)
-        structure = F.when(here, view(string)).otherwise(structure)
-    return files.withColumn("_syntax", syntax).withColumn("text", text).withColumn("structure", structure).drop("_syntax")
+    """Adds ``text`` (comments blanked) and ``structure`` (strings blanked too); offsets stay those of ``content``.
+
+    The token pattern is looked up per file: Spark keeps the last compiled one, so it is compiled once per change of
+    language, and one expression serves all of them.
+    """
+    name = lookup("language", P.SYNTAX_OF)
+    rules = {}
+    for syntax, (line, block, quotes, multi, _) in P.SYNTAX.items():
+        rules[syntax] = F.struct(
+            F.lit(_token_pattern(syntax)).alias("pattern"), _array(["\0", *line, *[o for o, _ in block]]).alias("comment"),
+            _array([*quotes, *[o for o, _ in multi]]).alias("string"))
+    rule = F.try_element_at(F.create_map(*[x for k, v in rules.items() for x in (F.lit(k), v)]), name)
+    typed = files.withColumn("_rule", rule).withColumn("_tokens", F.regexp_extract_all("content", F.col("_rule.pattern"), 0))
+
+    def blanked(openers: Column) -> Column:
+        return F.array_join(F.transform("_tokens", lambda t: F.when(
+            F.exists(openers, lambda o: t.startswith(o)), F.regexp_replace(t, r"[^\n]", " ")).otherwise(t)), "")
+
+    known = F.col("_rule").isNotNull()
+    return typed.select(
+        *files.columns, F.when(known, blanked(F.col("_rule.comment"))).otherwise(F.col("content")).alias("text"),
+        F.when(known, blanked(F.concat("_rule.comment", "_rule.string"))).otherwise(F.col("content")).alias("structure"))
 
 
 # --- parentheses and parameters --------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodemap.operators import extract as X
 from lodemap.operators.paths import with_language
+from lodemap.plans.cut import cut
 from workload.views import duck, query, table, view
 
 # Path ending, text and expected declarations (kind, name, first line, last line). {k} is the part's key and ~ a line
@@ -81,7 +82,7 @@ def source(spark, sf):
 
 
 def code(spark, sf):
-    return X.code_tables(X.marks(source(spark, sf)))
+    return X.code_tables(cut(X.marks(source(spark, sf))))
 
 
 def q_imports(spark, sf):
