@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["graph_queries", "path_queries", "build_queries", "repair_queries", "change_queries", "wiki_queries", "extract_queries"]
+MODULES = ["graph_queries", "path_queries", "build_queries", "repair_queries", "change_queries", "wiki_queries", "extract_queries",
+           "enrich_queries"]
 
 
 def registry() -> dict:
