@@ -119,25 +119,22 @@ def requests(items: DataFrame, projects: DataFrame) -> DataFrame:
 def json_object(text: Column | str) -> Column:
     """The first balanced JSON object of a response as VARIANT, null if there is none.
 
-    A response that is an object as a whole is taken as it is; else one fold over the characters finds where the object
-    that starts at the first brace ends, minding strings and escapes.
+    A response that is an object as a whole is taken as it is; else one fold over its braces, strings and the runs
+    between them finds where the object that starts at the first brace ends.
     """
     c = col(text)
     whole = F.try_parse_json(c)
     tail = F.substring(c, F.instr(c, "{"), F.length(c))
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("str"), F.lit(False).alias("esc"), F.lit(0).alias("end"))
-
-    def step(s: Column, ch: Column) -> Column:
-        live = s["end"] == 0
-        opens, closes = live & ~s["str"] & (ch == "{"), live & ~s["str"] & (ch == "}")
-        depth = F.when(opens, s["depth"] + 1).when(closes, s["depth"] - 1).otherwise(s["depth"])
-        return F.struct(
-            (s["at"] + 1).alias("at"), depth.alias("depth"),
-            F.when(s["esc"], s["str"]).when(ch == '"', ~s["str"]).otherwise(s["str"]).alias("str"),
-            (s["str"] & ~s["esc"] & (ch == "\\")).alias("esc"),
-            F.when(closes & (depth == 0), s["at"] + 1).otherwise(s["end"]).alias("end"))
-
-    end = F.aggregate(F.filter(F.split(tail, ""), lambda x: x != ""), zero, step, lambda s: s["end"])
+    tokens = F.regexp_extract_all(tail, F.lit(r'[{}]|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"?|[^{}"]+'), 0)
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth = s["depth"] + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
+        at = s["at"] + F.length(t)
+        return F.struct(at.alias("at"), depth.alias("depth"),
+                        F.when((s["end"] == 0) & (t == "}") & (depth == 0), at).otherwise(s["end"]).alias("end"))
+
+    end = F.aggregate(tokens, zero, step, lambda s: s["end"])
     found = F.when((F.instr(c, "{") > 0) & (end > 0), F.try_parse_json(F.left(tail, end)))
     return F.when(F.schema_of_variant(whole).startswith("OBJECT"), whole).otherwise(found)
 
@@ -166,7 +163,8 @@ def parse_responses(responses: DataFrame, asked: DataFrame) -> DataFrame:
     ``responses(repo_id, request_id, text)``, ``asked(repo_id, request_id, id)``. Only ids that were asked for count,
     the last entry of an id wins, summaries are cut at 400 characters and five tags kept.
     """
-    items = responses.select(K, "request_id", F.posexplode(_objects(json_object("text"), "$.items")).alias("_p", "v"))
+    read_once = responses.select(K, "request_id", json_object("text").alias("o")).filter("o is not null")
+    items = read_once.select(K, "request_id", F.posexplode(_objects(F.col("o"), "$.items")).alias("_p", "v"))
     v = F.col("v")
     raw_tags = F.when(_kind(v, "$.tags") == "ARRAY<STRING>", F.try_variant_get(v, "$.tags", STRINGS))
     tags = F.filter(F.transform(F.coalesce(raw_tags, F.array().cast(STRINGS)), lambda t: F.btrim(F.lower(t), F.lit(" \t"))), lambda t: t != "")
@@ -230,7 +228,8 @@ def domain_graph(responses: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
     """
     known = nodes.select(K, F.col("id").alias("node_id")).distinct()
     v = F.col("v")
-    top = responses.select(K, F.posexplode(F.slice(_objects(json_object("text"), "$.domains"), 1, MAX_DOMAINS)).alias("d_ord", "v"))
+    read_once = responses.select(K, json_object("text").alias("o")).filter("o is not null")
+    top = read_once.select(K, F.posexplode(F.slice(_objects(F.col("o"), "$.domains"), 1, MAX_DOMAINS)).alias("d_ord", "v"))
     listed = F.when(_kind(v, "$.nodeIds") == "ARRAY<STRING>", F.slice(F.try_variant_get(v, "$.nodeIds", STRINGS), 1, 40))
     domains = top.select(K, "d_ord", *_named(v, 400), listed.alias("node_ids"), F.slice(_objects(v, "$.flows"), 1, MAX_FLOWS).alias("_f")).filter("name <> ''").withColumn(
         "domain_id", F.concat(F.lit("domain:"), slug("name")))

@@ -100,7 +100,7 @@ BALANCED = r"^[^(]*\(((?:" + _nested(5) + r")*+)\)"
 def params_of(text: Column, drop_self: Column) -> Column:
     """Names of the first balanced parenthesis of ``text``, which starts at the declared name.
 
-    One fold over the characters splits at commas outside brackets and quotes and stops each part at its default value
+    One fold over marks and the runs between them splits at commas outside brackets and quotes and stops each part at its default value
     or type. Declarations are few and their lists short.
     """
     inner = F.regexp_extract(text, BALANCED, 1)
@@ -119,7 +119,8 @@ def params_of(text: Column, drop_self: Column) -> Column:
             F.when(split, "").when(shut, s["cur"]).otherwise(F.concat(s["cur"], c)).alias("cur"),
             F.when(split, F.concat(s["parts"], F.array(s["cur"]))).otherwise(s["parts"]).alias("parts"))
 
-    parts = F.aggregate(F.filter(F.split(inner, ""), lambda c: c != ""), start, step, lambda s: F.concat(s["parts"], F.array(s["cur"])))
+    runs = F.regexp_extract_all(inner, F.lit(r"[^()\[\]{}<>\"'`,=:]+|[\s\S]"), 0)
+    parts = F.aggregate(runs, start, step, lambda s: F.concat(s["parts"], F.array(s["cur"])))
 
     def name(raw: Column) -> Column:
         t = _strip(raw, " \t\r\n")

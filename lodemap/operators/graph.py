@@ -133,16 +133,15 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, changed: DataFrame, depth:
     else:
         paths = changed.select(K, normalize("path").alias("_p")).distinct()
         start = nodes.withColumn("_p", normalize("file_path")).join(paths, [K, "_p"], "left_semi").select(K, "id")
-    back = (
+    # Every hop reads the reversed edges: collapsed once, laid out by the key the hops join on.
+    back = cut(
         collapse_edges(edges).filter(F.col("type").isin(dims.PROPAGATING_EDGES))
-        .select(K, F.col("target").alias("id"), F.col("source").alias("dependent"))
+        .select(K, F.col("target").alias("id"), F.col("source").alias("dependent")).repartition(K, "id")
     )
-    reached = frontier = start.withColumn("hop", F.lit(0))
+    reached = frontier = cut(start.withColumn("hop", F.lit(0)))
     for hop in range(1, depth + 1):
         step = frontier.join(back, [K, "id"]).select(K, F.col("dependent").alias("id")).distinct()
-        frontier = step.join(reached, [K, "id"], "left_anti").withColumn("hop", F.lit(hop))
-        if hop % 3 == 0:
-            frontier = cut(frontier)
+        frontier = cut(step.join(reached, [K, "id"], "left_anti").withColumn("hop", F.lit(hop)))
         reached = reached.unionByName(frontier)
     return reached
 

@@ -8,6 +8,7 @@ from lodemap.functions import dims
 from lodemap.operators import build as B
 from lodemap.operators import paths as P
 from lodemap.operators import resolve as R
+from lodemap.plans.cut import cut
 from workload.graph_queries import COLLAPSED, DEGREES, sql_case, sql_list
 from workload.path_queries import LAYER_SQL, NODE_ID, file_nodes
 from workload.views import duck, query, view
@@ -128,7 +129,7 @@ def linked(spark, sf):
     edges = given.select("repo_id", "source", "target", F.lit("tested_by").alias("type"), F.lit("forward").alias("direction"),
                          F.lit(None).cast("string").alias("description"), F.lit(0.5).alias("weight"),
                          F.monotonically_increasing_id().alias("edge_ord"))
-    return B.link_tests(pair_nodes(spark, sf), edges)
+    return B.link_tests(cut(pair_nodes(spark, sf)), cut(edges))
 
 
 def q_pairs(spark, sf):
@@ -215,10 +216,10 @@ S_CAP_EDGES = duck(f"""with k as (select * from (select *, row_number() over (pa
 
 
 def q_tour(spark, sf):
-    nodes = file_nodes(spark, sf)
+    nodes = cut(file_nodes(spark, sf))
     i = view(spark, sf, "v_imports").select("repo_id", F.col("importer").alias("path"), F.col("target_path").alias("target"))
     edges = B.reference_edges(i, nodes)
-    table, members = B.layers(nodes)
+    table, members = (cut(t) for t in B.layers(nodes))
     entry = view(spark, sf, "v_files").filter("repo_id < 3").groupBy("repo_id").agg(F.max("path").alias("path"))
     return B.tour(nodes, edges, table, members, entry).select(
         "repo_id", "step_order", "title", "description", F.array_join("node_ids", ",").alias("node_ids"))

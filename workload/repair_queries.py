@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from lodemap.functions import dims
 from lodemap.operators import repair as R
+from lodemap.plans.cut import cut
 from workload.graph_queries import sql_case, sql_list
 from workload.views import duck, query, view
 
 
 def clean(spark, sf):
     nodes, ni = R.repair_nodes(view(spark, sf, "v_raw_nodes"))
+    nodes = cut(nodes)
     edges, ei = R.repair_edges(view(spark, sf, "v_raw_edges"), nodes)
     return nodes, edges, ni.unionByName(ei)
 
@@ -44,7 +46,7 @@ S_EDGES = duck(f"""with {RAW}, {EDGES} select repo_id, source, target, type, dir
 
 
 def q_totals(spark, sf):
-    return R.issue_report(clean(spark, sf)[2], 500)["totals"]
+    return R.issue_report(cut(clean(spark, sf)[2]), 500)["totals"]
 
 
 ISSUES = f"""{RAW}, {EDGES}, i as (
@@ -61,7 +63,7 @@ S_TOTALS = duck(f"with {ISSUES} select repo_id, category, count(*) as n from i g
 
 
 def q_levels(spark, sf):
-    return R.issue_report(clean(spark, sf)[2], 500)["levels"]
+    return R.issue_report(cut(clean(spark, sf)[2]), 500)["levels"]
 
 
 S_LEVELS = duck(f"""with {ISSUES} select repo_id, count(*) filter (where level = 'fatal') as fatal, count(*) filter (where level = 'dropped') as dropped,
@@ -70,7 +72,7 @@ S_LEVELS = duck(f"""with {ISSUES} select repo_id, count(*) filter (where level =
 
 
 def q_stored(spark, sf):
-    return R.issue_report(clean(spark, sf)[2], 500)["issues"].groupBy("repo_id").agg(F.count("*").alias("n"))
+    return R.issue_report(cut(clean(spark, sf)[2]), 500)["issues"].groupBy("repo_id").agg(F.count("*").alias("n"))
 
 
 S_STORED = duck(f"with {ISSUES} select repo_id, least(500, count(*)) as n from i group by 1")
