@@ -163,7 +163,7 @@ def parse_responses(responses: DataFrame, asked: DataFrame) -> DataFrame:
     ``responses(repo_id, request_id, text)``, ``asked(repo_id, request_id, id)``. Only ids that were asked for count,
     the last entry of an id wins, summaries are cut at 400 characters and five tags kept.
     """
-    read_once = responses.select(K, "request_id", json_object("text").alias("o")).filter("o is not null")
+    read_once = responses.select(K, "request_id", json_object("text").alias("o"))
     items = read_once.select(K, "request_id", F.posexplode(_objects(F.col("o"), "$.items")).alias("_p", "v"))
     v = F.col("v")
     raw_tags = F.when(_kind(v, "$.tags") == "ARRAY<STRING>", F.try_variant_get(v, "$.tags", STRINGS))
@@ -228,7 +228,7 @@ def domain_graph(responses: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
     """
     known = nodes.select(K, F.col("id").alias("node_id")).distinct()
     v = F.col("v")
-    read_once = responses.select(K, json_object("text").alias("o")).filter("o is not null")
+    read_once = responses.select(K, json_object("text").alias("o"))
     top = read_once.select(K, F.posexplode(F.slice(_objects(F.col("o"), "$.domains"), 1, MAX_DOMAINS)).alias("d_ord", "v"))
     listed = F.when(_kind(v, "$.nodeIds") == "ARRAY<STRING>", F.slice(F.try_variant_get(v, "$.nodeIds", STRINGS), 1, 40))
     domains = top.select(K, "d_ord", *_named(v, 400), listed.alias("node_ids"), F.slice(_objects(v, "$.flows"), 1, MAX_FLOWS).alias("_f")).filter("name <> ''").withColumn(

@@ -316,8 +316,14 @@ def dependency_rank(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000
             .select(K, "id", "o", (F.col("open") - F.coalesce("c", F.lit(0))).alias("open"),
                     F.greatest("rank", F.coalesce("r", F.lit(0))).alias("rank"))
         )
-    rest = todo.select(K, "id", "rank", F.lit(False).alias("settled"))
-    return rest if done is None else done.select(K, "id", "rank", F.lit(True).alias("settled")).unionByName(rest)
+    # A released node still gets the rank its late inputs call for, though it passed on an earlier one.
+    settled = todo.select(K, "id", "rank").limit(0) if done is None else done
+    final = settled.join(arcs, [K, "id"]).groupBy(K, F.col("target").alias("id")).agg((F.max("rank") + 1).alias("rank"))
+    left = todo.select(K, "id", F.lit(False).alias("settled"))
+    return (
+        nodes.select(K, "id").join(final, [K, "id"], "left").join(left, [K, "id"], "left")
+        .select(K, "id", F.coalesce("rank", F.lit(0)).alias("rank"), F.coalesce("settled", F.lit(True)).alias("settled"))
+    )
 
 
 # --- search ------------------------------------------------------------------

@@ -10,7 +10,8 @@ from lodemap import get_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return get_session("local[4]", 4, spark__driver__memory="4g")
+    return get_session("local[4]", 2, spark__driver__memory="6g", spark__sql__codegen__wholeStage="false",
+                       spark__sql__adaptive__enabled="false")
 
 
 @pytest.fixture
