@@ -19,7 +19,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    frozen = df.checkpoint(eager=True)
+    # Fresh columns: a later join with what ``df`` was made from must not mistake them for its own.
+    return frozen.select(*[F.col(f"`{c}`").alias(c) for c in frozen.columns])
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:

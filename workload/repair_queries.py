@@ -98,7 +98,7 @@ DOCS = """select o_custkey as repo_id, case when o_custkey % 29 = 0 then '[1]' w
  from (select o_custkey, min('o' || cast(o_orderkey as string)) as first_id, array_sort(collect_list('{"id": " o' || cast(o_orderkey as string) || ' ", "type": "' ||
    case o_orderkey % 3 when 0 then 'fn' when 1 then 'class' else 'wat' end || '", "complexity": ' || case o_orderkey % 4 when 0 then '5' when 1 then '"5"' when 2 then '"HIGH"' else '2.5' end
    || ', "tags": ' || case o_orderkey % 2 when 0 then '["a", 1]' else '["a", "b"]' end || ', "lineRange": [1, ' || cast(o_orderkey % 9 as string) || ']}')) as nodes,
-   array_sort(collect_list('{"source": "o' || cast(o_orderkey as string) || '", "target": "o' || cast(coalesce(nxt, 0) as string) || '", "type": "uses", "weight": '
+   array_sort(collect_list('{"source": "o' || cast(o_orderkey as string) || '", "target": "o' || coalesce(cast(nxt as string), '-none') || '", "type": "uses", "weight": '
     || case o_orderkey % 3 when 0 then '"0.25"' when 1 then '7' else '0.5' end || '}')) as edges
   from (select *, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as nxt from orders) group by o_custkey)"""
 
