@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 MODULES = ["graph_queries", "path_queries", "build_queries", "repair_queries", "change_queries", "wiki_queries", "extract_queries",
-           "enrich_queries", "analyze_queries"]
+           "enrich_queries", "analyze_queries",
+           "language_queries"]
 
 
 def registry() -> dict:
