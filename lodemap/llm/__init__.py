@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = [
-    "decontam", "url_filter", "token_count",
+    "decontam", "url_filter", "token_count", "toxicity",
 ]
 
 

@@ -86,51 +86,43 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
 _POW: dict[int, np.ndarray] = {}
 
 
-def word_hashes(raws: list[bytes], translate: bytes = LOWER) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raws: list[bytes], translate: bytes = LOWER, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """64-bit hashes of all words of all texts, in order, and the number of words of each text.
 
-    Words are what ``translate`` leaves between ASCII white space.
+    Words are what ``translate`` leaves between ASCII white space. For each length in ``prefixes`` (under 64) another
+    array has the hashes of the words' first bytes.
     """
     if not raws:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in prefixes)
     buf = np.frombuffer(b" ".join(raws).translate(translate) + b" ", np.uint8)
     space = IS_SPACE[buf]
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1))
     starts, ends = edge[0::2], edge[1::2]
     sizes = np.fromiter(map(len, raws), np.int64, len(raws)) + 1
-    tops = np.cumsum(sizes)
-    counts = np.diff(np.searchsorted(starts, tops, "left"), prepend=0)
+    counts = np.diff(np.searchsorted(starts, np.cumsum(sizes), "left"), prepend=0)
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
-    # Every word is a polynomial in its own positions: Horner steps by position, over words still long enough.
+        return np.zeros(0, np.uint64), counts, *(np.zeros(0, np.uint64) for _ in prefixes)
+    # A word is a polynomial in its bytes. Words go from long to short, so that each Horner step takes a slice.
     length = ends - starts
-    hashes = np.full(len(starts), np.uint64(0xCBF29CE484222325), np.uint64)
-    if length.max() > 64:
-        hashes = _prefix_hashes(buf, starts, ends)
-    else:
-        order = np.argsort(-length, kind="stable")
-        s, n = starts[order], length[order]
-        h = hashes
-        alive = np.searchsorted(-n, -np.arange(1, n[0] + 1), "right")
-        for j, k in enumerate(alive):
-            h[:k] = h[:k] * _MULT + _BYTE[buf[s[:k] + j]]
-        hashes = np.empty_like(h)
-        hashes[order] = h
-    return mix(hashes), counts
-
-
-def _prefix_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The same hashes, for blocks that hold very long words: long words one by one, the rest position by position."""
-    length = ends - starts
-    hashes = np.full(len(starts), np.uint64(0xCBF29CE484222325), np.uint64)
-    for j in range(64):
-        k = np.flatnonzero(length > j)
-        hashes[k] = hashes[k] * _MULT + _BYTE[buf[starts[k] + j]]
-    for i in np.flatnonzero(length > 64):
-        part = _BYTE[buf[starts[i] + 64 : ends[i]]]
+    order = np.argsort(-length, kind="stable")
+    s, n = starts[order], length[order]
+    h = np.full(len(starts), np.uint64(0xCBF29CE484222325), np.uint64)
+    alive = np.searchsorted(-n, -np.arange(1, 65), "right")
+    found = {}
+    for j, k in enumerate(alive[: min(64, n[0])].tolist()):
+        h[:k] = h[:k] * _MULT + _BYTE[buf[s[:k] + j]]
+        if j + 1 in prefixes:
+            found[j + 1] = h.copy()
+    for i in range(int((n > 64).sum())):  # the rest of a very long word at once
+        part = _BYTE[buf[s[i] + 64 : s[i] + n[i]]]
         p = powers(len(part) + 1, _MULT)
-        hashes[i] = hashes[i] * p[-1] + np.sum(part * p[-2::-1], dtype=np.uint64)
-    return hashes
+        h[i] = h[i] * p[-1] + np.sum(part * p[-2::-1], dtype=np.uint64)
+    out = []
+    for x in (h, *(found.get(q, h) for q in prefixes)):
+        placed = np.empty_like(x)
+        placed[order] = x
+        out.append(mix(placed))
+    return out[0], counts, *out[1:]
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
