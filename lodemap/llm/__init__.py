@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import importlib
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors carry this code along: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODULES = [
-    "decontam", "url_filter", "token_count", "toxicity",
+    "decontam", "url_filter", "token_count", "toxicity", "quality", "secrets_scan",
 ]
 
 
