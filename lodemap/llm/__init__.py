@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODULES = [
-    "html_text", "decontam", "url_filter", "token_count", "toxicity", "quality", "secrets_scan", "jaccard_join",
+    "html_text", "decontam", "url_filter", "token_count", "lm_score", "toxicity", "quality", "secrets_scan", "jaccard_join",
 ]
 
 
