@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODULES = [
-    "html_text", "decontam", "url_filter", "token_count", "lm_score", "toxicity", "quality", "secrets_scan", "jaccard_join",
+    "packing", "html_text", "decontam", "url_filter", "token_count", "lm_score", "toxicity", "quality", "secrets_scan", "jaccard_join",
 ]
 
 
@@ -20,4 +20,6 @@ def registry() -> dict:
     found: dict = {}
     for module in MODULES:
         found.update(importlib.import_module(f"{__name__}.{module}").QUERIES)
+    pipeline = importlib.import_module("corpus_pipeline")
+    found["pipeline"] = (pipeline.run, pipeline.ORACLE_SQL)
     return found
