@@ -116,7 +116,7 @@ def word_hashes(raws: list[bytes], translate: bytes = LOWER, prefixes: tuple[int
     for i in range(int((n > 64).sum())):  # the rest of a very long word at once
         part = _BYTE[buf[s[i] + 64 : s[i] + n[i]]]
         p = powers(len(part) + 1, _MULT)
-        h[i] = h[i] * p[-1] + np.sum(part * p[-2::-1], dtype=np.uint64)
+        h[i : i + 1] = h[i : i + 1] * p[-1:] + np.sum(part * p[-2::-1], dtype=np.uint64)
     out = []
     for x in (h, *(found.get(q, h) for q in prefixes)):
         placed = np.empty_like(x)

@@ -40,6 +40,8 @@ BOILERPLATE = {
     "skip", "disclaimer",
 }
 _WORD = re.compile(r"[a-z]+")
+#: A tag that the page's end cuts off: no text.
+_CUT_TAG = re.compile(r"<[/!?]?[A-Za-z][^>]*\Z")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -120,10 +122,7 @@ class Lines(HTMLParser):
             self._close(tag, inside=frozenset() if tag in BLOCKS else CONTAINERS)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:  # HTML ignores the slash
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)  # HTML ignores the slash
 
     def handle_data(self, data: str) -> None:
         if not self.dropped:
@@ -167,7 +166,8 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     if not html:
         return ""
     parser = Lines()
-    parser.feed(html)
+    last = html.rfind("<")
+    parser.feed(html[:last] if last >= 0 and _CUT_TAG.match(html, last) else html)
     parser.close()
     parser.end_line()
     lines = parser.lines
