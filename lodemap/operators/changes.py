@@ -168,40 +168,38 @@ def update_kind(diff: DataFrame, graph_sizes: DataFrame) -> DataFrame:
 
 # --- history ------------------------------------------------------------------------------
 
-def ancestors(commits: DataFrame, starts: DataFrame, max_rounds: int = 64) -> DataFrame:
+def ancestors(commits: DataFrame, starts: DataFrame) -> DataFrame:
     """Every commit reachable from each start, itself included: (repo_id, label, commit_id).
 
     ``commits(repo_id, commit_id, parent_id[, parent_no])`` has one row per parent. Walking one generation per round
-    would need as many rounds as history is deep. First parents form a forest, so they are walked by doubling: a table
-    of jumps of length 1, 2, 4, ... (each no larger than the commit table) covers a history of n commits in log n
-    steps. Further parents of what was reached start the next sweep; sweeps are as few as merges nest.
+    would need as many rounds as history is deep. Parents of one number form a forest, so each number is walked by
+    doubling: tables of jumps of length 1, 2, 4, ... (each no larger than the commit table) cover a line of n commits in
+    log n steps. A sweep walks every number in turn from what the last sweep found, until nothing is new: there are as many
+    sweeps as a path changes between numbers, without a limit.
     """
     no = F.col("parent_no") if "parent_no" in commits.columns else F.lit(0)
-    arcs = cut(commits.filter("parent_id is not null").select(K, "commit_id", "parent_id", no.alias("parent_no")).repartition(K, "commit_id"))
-    jumps = [arcs.filter("parent_no = 0").select(K, "commit_id", F.col("parent_id").alias("to"))]
-    side = arcs.filter("parent_no > 0").select(K, "commit_id", F.col("parent_id").alias("to"))
-    for _ in range(max_rounds):
-        longer = cut(jumps[-1].join(jumps[-1].select(K, F.col("commit_id").alias("to"), F.col("to").alias("_next")), [K, "to"])
-                     .select(K, "commit_id", F.col("_next").alias("to")))
-        if longer.isEmpty():
-            break
-        jumps.append(longer)
-    reached = None
-    fresh = starts.select(K, "label", "commit_id").distinct()
-    merges = not side.isEmpty()
-    for _ in range(max_rounds):
+    arcs = cut(commits.filter("parent_id is not null").select(K, "commit_id", F.col("parent_id").alias("to"), no.alias("parent_no")))
+    numbers = [r["parent_no"] for r in arcs.select("parent_no").distinct().orderBy("parent_no").collect()]  # a merge has few parents
+    jumps = []
+    for number in numbers:
+        jump = arcs.filter(F.col("parent_no") == number).select(K, "commit_id", "to").distinct()
+        while True:
+            jumps.append(jump)
+            jump = cut(jump.join(jump.select(K, F.col("commit_id").alias("to"), F.col("to").alias("_next")), [K, "to"])
+                       .select(K, "commit_id", F.col("_next").alias("to")))
+            if jump.isEmpty():
+                break
+    reached = fresh = cut(starts.select(K, "label", "commit_id").distinct())
+    while True:
         line = fresh
         for jump in jumps:
             line = line.unionByName(line.join(jump, [K, "commit_id"]).select(K, "label", F.col("to").alias("commit_id"))).distinct()
-        line = cut(line)
-        reached = line if reached is None else cut(reached.unionByName(line).distinct())
-        if not merges:
-            break
-        fresh = cut(line.join(side, [K, "commit_id"]).select(K, "label", F.col("to").alias("commit_id")).distinct()
-                    .join(reached, [K, "label", "commit_id"], "left_anti"))
+        fresh = cut(line.join(reached, [K, "label", "commit_id"], "left_anti"))
         if fresh.isEmpty():
-            break
-    return reached
+            return reached
+        reached = cut(reached.unionByName(fresh))
+        if len(numbers) < 2:
+            return reached
 
 
 # --- fixed values: severities of freshness states --------------------------------------------
@@ -232,7 +230,7 @@ def freshness(builds: DataFrame, heads: DataFrame, commits: DataFrame, commit_fi
     starts = moved.select(K, F.explode(F.array(
         F.struct(F.lit("graph").alias("label"), F.col("graph_commit").alias("commit_id")),
         F.struct(F.lit("head").alias("label"), F.col("head").alias("commit_id")))).alias("s")).select(K, "s.label", "s.commit_id")
-    sides = ancestors(commits, starts).groupBy(K, "commit_id").agg(
+    sides = ancestors(commits.join(moved.select(K).distinct(), K, "left_semi"), starts).groupBy(K, "commit_id").agg(
         F.max(F.col("label") == "graph").alias("in_graph"), F.max(F.col("label") == "head").alias("in_head"))
     one_side = sides.filter("in_graph <> in_head")
     touched = commit_files.filter(outside).select(K, F.col("commit_id"), "path")

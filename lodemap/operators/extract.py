@@ -97,13 +97,26 @@ def _nested(depth: int) -> str:
 BALANCED = r"^[^(]*\(((?:" + _nested(5) + r")*+)\)"
 
 
+def _balanced_inner(text: Column) -> Column:
+    """What the first parenthesis of ``text`` holds, nested to any depth; null where it stays open or a quote does."""
+    runs = F.regexp_extract_all(F.regexp_extract(text, r"(?s)^[^(]*\((.*)$", 1), F.lit(r"[^()\"']+|\"[^\"]*\"|'[^']*'|[\s\S]"), 0)
+    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("held"))
+
+    def step(s: Column, c: Column) -> Column:
+        # Depth 0 is the end; an open quote never ends.
+        depth = F.when(s["depth"] <= 0, s["depth"]).when(c.isin('"', "'"), -1).when(c == "(", s["depth"] + 1).when(c == ")", s["depth"] - 1).otherwise(s["depth"])
+        return F.struct(depth.alias("depth"), F.when(depth > 0, F.concat(s["held"], c)).otherwise(s["held"]).alias("held"))
+
+    return F.when(F.instr(text, "(") > 0, F.aggregate(runs, start, step, lambda s: F.when(s["depth"] == 0, s["held"])))
+
+
 def params_of(text: Column, drop_self: Column) -> Column:
     """Names of the first balanced parenthesis of ``text``, which starts at the declared name.
 
-    One fold over marks and the runs between them splits at commas outside brackets and quotes and stops each part at its default value
+    A first fold finds the closing parenthesis at any depth. A second over marks and the runs between them splits at commas outside brackets and quotes and stops each part at its default value
     or type. Declarations are few and their lists short.
     """
-    inner = F.regexp_extract(text, BALANCED, 1)
+    inner = F.coalesce(F.nullif(F.regexp_extract(text, BALANCED, 1), F.lit("")), _balanced_inner(text), F.lit(""))
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("quote"), F.lit(False).alias("shut"), F.lit("").alias("cur"),
                      F.array().cast(STRINGS).alias("parts"))
 
@@ -161,7 +174,7 @@ def lines(files: DataFrame) -> DataFrame:
     reach = F.when(F.col("language") == "powershell", 20).otherwise(8)
 
     def continued(t: Column, i: Column) -> Column:
-        is_open = t.rlike(r"(?i)\b(?:def|func|function|fun|fn|param)\b|\(") & ~t.rlike(BALANCED)
+        is_open = t.rlike(r"(?i)\b(?:def|func|function|fun|fn|param)\b|\(") & ~t.rlike(BALANCED) & _balanced_inner(t).isNull()
         return F.when(F.col("language").isin(P.CODE_LANGUAGES) & is_open, F.concat_ws(" ", F.slice("_t", i + 2, reach)))
 
     def statement(t: Column, i: Column) -> Column:
@@ -687,7 +700,7 @@ def dockerfile(o: DataFrame) -> dict[str, DataFrame]:
         .select(K, "path", F.col("line_start").cast("long").alias("decl_seq"), "name", "image", F.sort_array(F.array_distinct(F.col("_p").cast("array<int>"))).alias("ports"),
                 "line_start", F.col("line_end").cast("int").alias("line_end"))
     )
-    text = F.concat_ws(" ", F.upper(F.regexp_extract("code", P.DOCKER["step"], 1)), F.left(_strip(F.regexp_extract("code", P.DOCKER["step"], 2)), F.lit(60)))
+    text = F.concat_ws(" ", F.upper(F.regexp_extract("code", P.DOCKER["step"], 1)), _strip(F.regexp_extract("code", P.DOCKER["step"], 2)))
     steps = d.filter(code.rlike(P.DOCKER["step"])).select(K, "path", _seq(), text.alias("name"), F.col("line").alias("line_start"), F.col("line").alias("line_end"))
     return {"services": services, "steps": steps}
 

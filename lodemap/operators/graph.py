@@ -84,14 +84,14 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return hops.unionByName(s.select(K, "seed", F.col("seed").alias("id"))).distinct()
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Fewest-hop path, ignoring direction, for each (repo_id, start, end); no row when there is none.
 
     Breadth first for all pairs together. Among equal paths the one found first wins: a path is ranked by the
     edge orders along it, which is the order a queue would visit them in. Undirected levels touch only the two
     levels before them, so each round tests new nodes against those alone and not against everything visited.
     """
-    adj = cut(adjacency(collapse_edges(edges)).select(K, "id", "neighbour", "adj_ord").repartition(K, "id"))
+    adj = cut(adjacency(collapse_edges(edges)).select(K, "id", "neighbour", "adj_ord"))
     want = cut(pairs.select(K, "start", "end").distinct())
     order_type = adj.schema["adj_ord"].dataType.simpleString()
     here = want.select(K, "start", "end", F.col("start").alias("id"),
@@ -100,7 +100,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 64) -> Da
     here = here.filter("start <> end")
     last = here.select(K, "start", "end", "id").limit(0)
     goals = ["start", "end"]
-    for _ in range(max_hops):
+    level_no = 0
+    while True:
         step = (
             here.join(adj, [K, "id"])
             .select(K, *goals, F.col("neighbour").alias("id"),
@@ -115,6 +116,9 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 64) -> Da
         )
         hit = level.filter(F.col("id") == F.col("end"))
         found = found.unionByName(hit)
+        level_no += 1
+        if level_no % 32 == 0:  # a long search doesn't grow an endless plan
+            found = cut(found)
         last = here.select(K, *goals, "id")
         here = level.join(hit.select(K, *goals), [K, *goals], "left_anti")
         if here.isEmpty():
@@ -133,10 +137,10 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, changed: DataFrame, depth:
     else:
         paths = changed.select(K, normalize("path").alias("_p")).distinct()
         start = nodes.withColumn("_p", normalize("file_path")).join(paths, [K, "_p"], "left_semi").select(K, "id")
-    # Every hop reads the reversed edges: collapsed once, laid out by the key the hops join on.
+    # Every hop reads the reversed edges, collapsed once.
     back = cut(
         collapse_edges(edges).filter(F.col("type").isin(dims.PROPAGATING_EDGES))
-        .select(K, F.col("target").alias("id"), F.col("source").alias("dependent")).repartition(K, "id")
+        .select(K, F.col("target").alias("id"), F.col("source").alias("dependent"))
     )
     reached = frontier = cut(start.withColumn("hop", F.lit(0)))
     for hop in range(1, depth + 1):
@@ -281,16 +285,16 @@ def shared_owner_pairs(owners: DataFrame) -> DataFrame:
     )
 
 
-def dependency_rank(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def dependency_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Longest dependency path ending at each node over the hierarchy relations: (repo_id, id, rank, settled).
 
     Peels nodes without open inputs, all repositories together. A repository left with cycles only releases the
-    node with fewest open inputs (lowest order next), one per round. ``settled`` is false where the round limit hit.
+    node with fewest open inputs (lowest order next), one per round, until every node has its rank (so ``settled`` is always true).
     """
     order = "node_ord" if "node_ord" in nodes.columns else "id"
     arcs = cut(
         collapse_edges(edges, nodes).filter(F.col("type").isin(dims.HIERARCHY_EDGES))
-        .select(K, F.col("source").alias("id"), "target").repartition(K, "id")
+        .select(K, F.col("source").alias("id"), "target")
     )
     indeg = arcs.groupBy(K, F.col("target").alias("id")).agg(F.count("*").alias("open"))
     todo = cut(
@@ -298,7 +302,7 @@ def dependency_rank(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000
         .select(K, "id", "o", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).alias("rank"))
     )
     done = None
-    for _ in range(max_rounds):
+    while True:
         ready = todo.filter("open <= 0")
         stuck = todo.groupBy(K).agg(F.min("open").alias("m"), F.min(F.struct("open", "o", "id")).alias("f"))
         released = stuck.filter("m > 0").select(K, F.col("f.id").alias("id"))

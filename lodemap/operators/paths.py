@@ -157,7 +157,7 @@ def ignore_effect(nodes: DataFrame, draft: list[str]) -> DataFrame:
     return paths.groupBy(K).agg(F.count_if(verdict).alias("excluded"), F.count("*").alias("total"))
 
 
-def suggest_rules(gitignores: DataFrame, projects: DataFrame, limit: int = 60) -> DataFrame:
+def suggest_rules(gitignores: DataFrame, projects: DataFrame) -> DataFrame:
     """Rules to offer: a repository's own git rules that are not built in, then test globs of its languages.
 
     ``gitignores`` (repo_id, content), ``projects`` (repo_id, languages array<string>) ->
@@ -168,7 +168,7 @@ def suggest_rules(gitignores: DataFrame, projects: DataFrame, limit: int = 60) -
         lambda s: (s != "") & ~s.startswith("#") & ~s.isin(dims.DEFAULT_IGNORES),
     )
     own = gitignores.select(K, F.lit("gitignore").alias("origin"),
-                            F.posexplode(F.slice(line, 1, limit)).alias("suggestion_ord", "pattern"))
+                            F.posexplode(line).alias("suggestion_ord", "pattern"))
     # Offered in the fixed table's order, whatever order the project lists its languages in.
     globs = F.array(*[
         F.struct(F.lit(lang).alias("lang"), F.lit(i * 10 + j).alias("o"), F.lit(g).alias("g"))
@@ -270,9 +270,8 @@ def file_level(nodes: DataFrame) -> DataFrame:
 
 
 def looks_binary(content: Column | str) -> Column:
-    """A NUL among the first 256 KiB of the bytes."""
-    head = F.substring(col(content), 1, dims.MAX_HEADER_BYTES)
-    return F.instr(F.decode(head, "ISO-8859-1"), "\0") > 0
+    """A NUL among the bytes."""
+    return F.instr(F.decode(col(content), "ISO-8859-1"), "\0") > 0
 
 
 def binary_files(source_files: DataFrame) -> DataFrame:

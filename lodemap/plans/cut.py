@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in ``spark.checkpoint.dir``; a temporary one is used only where it is unset."""
+    """The session names a folder that all executors share in ``spark.checkpoint.dir``. Local sessions may leave it unset:
+    theirs is below the warehouse."""
     if spark.sparkContext.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodemap-checkpoint-"))
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    spark.sparkContext.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ def get_session(master: str = "local[*]", shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         # Plans here have thousands of expressions; recording a call site for each doubles the time to build them.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # Checkpoints go when nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )

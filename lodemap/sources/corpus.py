@@ -20,21 +20,17 @@ K = "repo_id"
 def scan_corpus(spark: SparkSession, root: str, tracked: DataFrame | None = None) -> DataFrame:
     """Files of every repository folder directly below ``root``: (repo_id, repo, path, content, n_bytes).
 
-    Version-control and dependency folders, the analyzer's own output and anything deeper than 24 folders are left out.
-    The content of files over 8 MiB is never read. ``tracked(repo, path)`` restricts the scan to listed files. A
-    repository is keyed by a hash of its folder name.
+    Version-control and dependency folders and the analyzer's own output are left out. ``tracked(repo, path)`` restricts
+    the scan to listed files. A repository is keyed by a hash of its folder name.
     """
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    # The length condition is pushed into the scan, so large files are not opened; their rows come from metadata alone.
-    small = raw.load(base).filter(F.col("length") <= dims.MAX_FILE_BYTES).select("path", "length", "content")
-    large = raw.load(base).filter(F.col("length") > dims.MAX_FILE_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content"))
     inside = F.regexp_replace("path", r"^(?:[a-z0-9]+:)?/*", "")
     plain = base.split(":", 1)[-1].lstrip("/")
     relative = F.substring(inside, len(plain) + 2, 1_000_000)
     parts = F.split("_rel", "/")
     out = (
-        small.unionByName(large).withColumn("_rel", relative).filter(F.size(parts) > 1)
+        raw.load(base).select("path", "length", "content").withColumn("_rel", relative).filter(F.size(parts) > 1)
         .select(F.xxhash64(parts[0]).alias(K), parts[0].alias("repo"), F.regexp_replace("_rel", "^[^/]+/", "").alias("path"),
                 "content", F.col("length").alias("n_bytes"))
     )
@@ -42,7 +38,7 @@ def scan_corpus(spark: SparkSession, root: str, tracked: DataFrame | None = None
     nested = F.instr("path", "/") > 0
     pruned = nested & F.arrays_overlap(folders, F.array(*[F.lit(d) for d in dims.PRUNED_DIRECTORIES]))
     own = F.split("path", "/")[0].isin(dims.OUTPUT_DIRECTORIES) & nested
-    out = out.filter(~pruned & ~own & (F.size(F.split("path", "/")) <= dims.MAX_DEPTH + 1))
+    out = out.filter(~pruned & ~own)
     return out if tracked is None else out.join(tracked.select("repo", "path"), ["repo", "path"], "left_semi")
 
 
@@ -57,44 +53,39 @@ def _sized(source_files: DataFrame) -> DataFrame:
 
 
 def with_text(source_files: DataFrame) -> DataFrame:
-    """``content`` as text; bytes that are not UTF-8 are replaced, not refused. Oversize files get null."""
+    """``content`` as text; bytes that are not UTF-8 are replaced, not refused."""
     df = _sized(source_files)
     if dict(df.dtypes)["content"] == "binary":
         lossy = F.call_function("decode", F.col("content"), F.lit("UTF-8"))
         text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.make_valid_utf8(F.col("content").cast("string")), lossy)
     else:
         text = F.col("content")
-    return df.withColumn("content", F.when(F.col("n_bytes") <= dims.MAX_FILE_BYTES, text))
+    return df.withColumn("content", text)
 
 
 def probe_files(source_files: DataFrame) -> DataFrame:
     """The file table: (repo_id, path, language, category, size_lines, content_hash, n_bytes).
 
-    Lines are newline bytes. A file over 8 MiB counts no lines and is hashed by its size.
+    Lines are newline bytes.
     """
     df = _sized(source_files)
     data = _bytes(df)
-    small = F.col("n_bytes") <= dims.MAX_FILE_BYTES
     as_text = F.decode(data, "ISO-8859-1")
     lines = F.length(as_text) - F.length(F.replace(as_text, F.lit("\n")))
-    over = F.sha2(F.concat(F.lit("oversize:"), F.col("n_bytes").cast("string")), 256)
     return df.select(
         K, "path", language_of("path").alias("language"), category_of("path").alias("category"),
-        F.when(small, lines).otherwise(0).cast("int").alias("size_lines"),
-        F.when(small, F.sha2(data, 256)).otherwise(over).alias("content_hash"), "n_bytes")
+        lines.cast("int").alias("size_lines"), F.sha2(data, 256).alias("content_hash"), "n_bytes")
 
 
 def manifests(source_files: DataFrame) -> DataFrame:
-    """Package manifests of at most 256 KiB; a longer one is skipped, not cut."""
-    df = _sized(source_files)
-    return df.filter(basename("path").isin(dims.MANIFEST_FILENAMES) & (F.col("n_bytes") <= dims.MAX_HEADER_BYTES))
+    """Package manifests."""
+    return _sized(source_files).filter(basename("path").isin(dims.MANIFEST_FILENAMES))
 
 
 def config_files(source_files: DataFrame) -> DataFrame:
     """Configuration that import resolution reads."""
     names = ["tsconfig.json", "jsconfig.json", "go.mod", "composer.json"]
-    df = _sized(source_files)
-    return df.filter(basename("path").isin(names) & (F.col("n_bytes") <= dims.MAX_HEADER_BYTES)).select(K, "path", "content")
+    return source_files.filter(basename("path").isin(names)).select(K, "path", "content")
 
 
 BUCKETS = 4096

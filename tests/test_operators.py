@@ -92,6 +92,22 @@ def test_shortest_path_prefers_early_edges(spark, rows):
     assert rows(G.shortest_paths(edges, pairs), "end", "path") == [("s", ("s",)), ("t", ("s", "b", "t"))]
 
 
+def test_long_shortest_path(spark, rows):
+    chain = [(1, f"n{i}", f"n{i + 1}", "imports", 1.0, i) for i in range(70)]
+    edges = frame(spark, "repo_id long, source string, target string, type string, weight double, edge_ord long", *chain)
+    pairs = frame(spark, "repo_id long, start string, end string", (1, "n0", "n70"), (1, "n0", "elsewhere"))
+    assert rows(G.shortest_paths(edges, pairs), "end", "hops") == [("n70", 70)]
+
+
+def test_ancestors_through_many_merges(spark):
+    nested = [(1, f"m{i}", p, k) for i in range(200) for k, p in enumerate((f"a{i}", f"m{i + 1}"))]
+    zigzag = [(2, f"z{i}", p, k) for i in range(12) for k, p in enumerate((f"z{i + 1}", f"y{i}") if i % 2 else (f"y{i}", f"z{i + 1}"))]
+    commits = frame(spark, "repo_id long, commit_id string, parent_id string, parent_no int", *nested, *zigzag)
+    starts = frame(spark, "repo_id long, label string, commit_id string", (1, "head", "m0"), (2, "head", "z0"), (3, "head", "alone"))
+    got = {r.repo_id: r.n for r in C.ancestors(commits, starts).groupBy("repo_id").agg(F.countDistinct("commit_id").alias("n")).collect()}
+    assert got == {1: 401, 2: 25, 3: 1}
+
+
 def test_search_scores(spark, rows):
     nodes = frame(spark, "repo_id long, id string, name string, summary string, tags array<string>, type string",
                   (1, "1", "graph-builder", "", [], "file"), (1, "2", "other", "A graph of things", [], "file"), (1, "3", "x", "Not yet analyzed.", ["graph"], "class"))
