@@ -23,7 +23,7 @@ def _line_count() -> Column:
 def fingerprints(files: DataFrame, decls: dict[str, DataFrame], has_structure: Column | None = None) -> DataFrame:
     """One row per file: content hash and the sorted shape of its declarations.
 
-    ``files(repo_id, path, content_hash)``. Lists are per file, and a file is bounded (8 MiB). Declarations of all
+    ``files(repo_id, path, content_hash)``. Lists are per file. Declarations of all
     kinds are stacked and grouped once, so there is one shuffle instead of one per kind.
     """
     exports = decls["exports"].select(K, "path", "name").distinct()

@@ -2,7 +2,7 @@
 
 A file row is lexed in place (comments and strings blanked, length kept), exploded to lines, and everything that needs
 neighbours - bracket depth, block ends, enclosing type, indentation - is a window over one file. Rows are spread by
-(repo_id, path) once, before the explode, so no window shuffles again; a file is bounded (8 MiB). Only lines that
+(repo_id, path) once, before the explode, so no window shuffles again; a window holds one file. Only lines that
 declare or call something leave the job.
 """
 

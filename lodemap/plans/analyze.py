@@ -11,7 +11,7 @@ from lodemap.operators import build as B
 from lodemap.operators import extract as X
 from lodemap.operators import resolve as R
 from lodemap.operators import wiki as W
-from lodemap.operators.paths import apply_ignore
+from lodemap.operators.paths import apply_ignore, language_of
 from lodemap.plans.cut import cut
 from lodemap.sources import corpus as C
 
@@ -69,7 +69,7 @@ def analyze(source_files: DataFrame, rules: DataFrame | None = None, excludes: l
     kept = verdict.filter(~F.col("ignored")).drop("ignored", "ignored_by_default")
     filtered = verdict.groupBy(K).agg(F.count_if(F.col("ignored") & ~F.col("ignored_by_default")).alias("filtered_by_ignore"))
     files = cut(C.probe_files(kept))
-    src = kept.join(files.select(K, "path", "language"), [K, "path"])
+    src = kept.withColumn("language", language_of("path"))
     wikis = cut(W.detect_wikis(kept.select(K, "path", "content")))
     is_wiki = wikis.select(K)
     code = _code_graph(src.join(is_wiki, K, "left_anti"), files.join(is_wiki, K, "left_anti"))

@@ -66,7 +66,7 @@ def with_text(source_files: DataFrame) -> DataFrame:
 def probe_files(source_files: DataFrame) -> DataFrame:
     """The file table: (repo_id, path, language, category, size_lines, content_hash, n_bytes).
 
-    Lines are newline bytes.
+    Lines are newline bytes. Content that isn't there counts no lines and has no hash.
     """
     df = _sized(source_files)
     data = _bytes(df)
@@ -74,7 +74,7 @@ def probe_files(source_files: DataFrame) -> DataFrame:
     lines = F.length(as_text) - F.length(F.replace(as_text, F.lit("\n")))
     return df.select(
         K, "path", language_of("path").alias("language"), category_of("path").alias("category"),
-        lines.cast("int").alias("size_lines"), F.sha2(data, 256).alias("content_hash"), "n_bytes")
+        F.coalesce(lines, F.lit(0)).cast("int").alias("size_lines"), F.sha2(data, 256).alias("content_hash"), "n_bytes")
 
 
 def manifests(source_files: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodemap.operators import repair
 from lodemap.plans.analyze import analyze
-from lodemap.sources import corpus
+from lodemap.sources import corpus, documents
 from lodemap.sources.documents import export_compact, graph_documents, read_graph_documents, write_graph_documents
 
 DEMO = {
@@ -108,6 +108,14 @@ def test_scan_reads_folders(spark, tmp_path, rows):
     assert rows(corpus.scan_corpus(spark, str(tmp_path), tracked), "path") == [("b.md",)]
 
 
-def test_oversize_file(spark, rows):
-    src = spark.createDataFrame([(1, "big.txt", None, 9 * 1024 * 1024)], "repo_id long, path string, content string, n_bytes long")
-    assert rows(corpus.probe_files(src), "size_lines") == [(0,)]
+def test_large_graphs_are_written_in_all_their_parts(spark, graph, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "MAX_DOCUMENT_NODES", 0)
+    write_graph_documents(graph, str(tmp_path / "out"))
+    got = {r.kind: r.n for r in documents.read_graph_parts(spark, str(tmp_path / "out" / "parts")).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    tables = {"project": "projects", "node": "nodes", "edge": "edges", "layer": "layers", "member": "layer_members", "step": "tour_steps"}
+    assert got == {kind: graph[name].count() for kind, name in tables.items()} and set(got) == set(documents.PART_KINDS)
+
+
+def test_large_file(spark, rows):
+    src = spark.createDataFrame([(1, "big.txt", "abc\n" * (3 << 20)), (1, "unread.txt", None)], "repo_id long, path string, content string")
+    assert rows(corpus.probe_files(src), "path", "size_lines", "n_bytes") == [("big.txt", 3 << 20, 12 << 20), ("unread.txt", 0, None)]
