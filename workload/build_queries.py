@@ -199,7 +199,7 @@ S_CAP_NODES = duck(f"""with k as (select * from (select *, row_number() over (pa
  select e.repo_id, 'edge', source || ' ' || e.type || ' ' || target from v_repo_edges e
   join k a on a.repo_id = e.repo_id and a.id = source join k b on b.repo_id = e.repo_id and b.id = target union all
  select repo_id, 'issue', 'This project has more than 400 nodes. ' || (count(*) - 400) || ' sub-file node'
-  || case when count(*) = 401 then '' else 's' end || ' were left out; every file is still present.' from v_nodes group by 1 having count(*) > 400""")
+  || case when count(*) = 401 then '' else 's' end || ' did not fit; all files stayed.' from v_nodes group by 1 having count(*) > 400""")
 
 
 def q_cap_edges(spark, sf):
@@ -212,7 +212,7 @@ def q_cap_edges(spark, sf):
 S_CAP_EDGES = duck(f"""with k as (select * from (select *, row_number() over (partition by repo_id
   order by {sql_case('type', dims.EDGE_WEIGHT)} desc, type, source, target) as rn from v_repo_edges) where rn <= 3000)
  select repo_id, type, count(*) as n from k group by 1, 2 union all
- select repo_id, 'More than 3000 edges. ' || (count(*) - 3000) || ' of the weakest were left out.', 1 from v_repo_edges group by 1 having count(*) > 3000""")
+ select repo_id, 'More than 3000 edges. ' || (count(*) - 3000) || ' with the least weight did not fit.', 1 from v_repo_edges group by 1 having count(*) > 3000""")
 
 
 def q_tour(spark, sf):
@@ -234,11 +234,11 @@ S_TOUR = duck(f"""with n as (select repo_id, path, {NODE_ID} as id, {LAYER_SQL}
   where not exists (select 1 from o where o.repo_id = d.repo_id and o.path = d.path)),
  t as (select repo_id, layer, string_agg(id, ',' order by rn) as ids from r where rn <= 4 group by 1, 2),
  c as (select repo_id, layer, count(*) as m from n group by 1, 2),
- s as (select d.repo_id, 0 as k, 'Start here' as title, 'Where this project introduces itself.' as description, d.id as ids
+ s as (select d.repo_id, 0 as k, 'Start here' as title, 'What the project says of itself.' as description, d.id as ids
    from o join d on d.repo_id = o.repo_id and d.path = o.path union all
   select t.repo_id, {sql_case('t.layer', {n: i + 1 for i, n in enumerate(dims.TOUR_ORDER)})}, t.layer,
    {sql_case('t.layer', dims.LAYER_DESCRIPTION)} || '. ' || c.m || case when c.m = 1 then ' file' else ' files' end
-   || ' in this layer; the most connected are shown here.', t.ids from t join c on c.repo_id = t.repo_id and c.layer = t.layer)
+   || ' here; these have the most connections.', t.ids from t join c on c.repo_id = t.repo_id and c.layer = t.layer)
  select repo_id, cast(row_number() over (partition by repo_id order by k) as integer) as step_order, title, description, ids as node_ids from s""")
 
 MANIFESTS = """select p_partkey % 40 as repo_id, case p_partkey % 4 when 0 then 'package.json' when 1 then 'svc' || cast(p_size as varchar(20)) || '/package.json'

@@ -83,9 +83,9 @@ def q_messages(spark, sf):
 
 
 S_MESSAGES = duck(f"""with {RAW}, {EDGES}
- select repo_id, 'Node "' || id || '" had no type; treated as a file.' as message, 'nodes[' || node_ord || '].type' as path from tn where type = ''
- union all select repo_id, 'Edge source "' || source || '" is not a node in this graph.', 'edges[' || edge_ord || '].source' from je where ty is not null and not s_ok
- union all select repo_id, 'Edge target "' || target || '" is not a node in this graph.', 'edges[' || edge_ord || '].target' from je where ty is not null and s_ok and not t_ok""")
+ select repo_id, 'Node "' || id || '" came without a type and counts as a file.' as message, 'nodes[' || node_ord || '].type' as path from tn where type = ''
+ union all select repo_id, 'Edge source "' || source || '" is none of the nodes.', 'edges[' || edge_ord || '].source' from je where ty is not null and not s_ok
+ union all select repo_id, 'Edge target "' || target || '" is none of the nodes.', 'edges[' || edge_ord || '].target' from je where ty is not null and s_ok and not t_ok""")
 
 
 # --- documents: one per customer, its orders as nodes and a chain of edges -----------------------

@@ -89,8 +89,8 @@ def q_wiki_layers(spark, sf):
 
 
 S_WIKI_LAYERS = """with m as (select p_partkey % 7 as r, count(*) as n, count(distinct (p_size % 9, p_brand)) as s from part group by 1),
- l as (select r as repo_id, 'layer:topic:first-half' as layer_id, 'First Half' as name, 1 as n_members, 0 as layer_ord, 'Articles catalogued under First Half.' as description from m where r < 5
- union all select r, 'layer:topic:other', 'Other', 1, 1, 'Articles catalogued under Other.' from m where r < 5
+ l as (select r as repo_id, 'layer:topic:first-half' as layer_id, 'First Half' as name, 1 as n_members, 0 as layer_ord, 'Articles of the topic First Half.' as description from m where r < 5
+ union all select r, 'layer:topic:other', 'Other', 1, 1, 'Articles of the topic Other.' from m where r < 5
  union all select r, 'layer:uncategorised', 'Uncategorised', n + s - case when r < 5 then 2 else 0 end, case when r < 5 then 2 else 0 end, 'Articles the index does not list.' from m)
  select repo_id, layer_id, name, cast(n_members as bigint) as n_members, cast(layer_ord as integer) as layer_ord, description from l"""
 
