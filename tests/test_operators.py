@@ -1,7 +1,9 @@
 """Small hand-made cases for what SQL over the driver's tables cannot show."""
 
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodemap.functions import text as T
@@ -92,6 +94,7 @@ def test_shortest_path_prefers_early_edges(spark, rows):
     assert rows(G.shortest_paths(edges, pairs), "end", "path") == [("s", ("s",)), ("t", ("s", "b", "t"))]
 
 
+@pytest.mark.skipif(not os.environ.get("LONG_TESTS"), reason="seventy rounds take minutes; set LONG_TESTS to run them")
 def test_long_shortest_path(spark, rows):
     chain = [(1, f"n{i}", f"n{i + 1}", "imports", 1.0, i) for i in range(70)]
     edges = frame(spark, "repo_id long, source string, target string, type string, weight double, edge_ord long", *chain)
@@ -99,6 +102,7 @@ def test_long_shortest_path(spark, rows):
     assert rows(G.shortest_paths(edges, pairs), "end", "hops") == [("n70", 70)]
 
 
+@pytest.mark.skipif(not os.environ.get("LONG_TESTS"), reason="many sweeps take minutes; set LONG_TESTS to run them")
 def test_ancestors_through_many_merges(spark):
     nested = [(1, f"m{i}", p, k) for i in range(200) for k, p in enumerate((f"a{i}", f"m{i + 1}"))]
     zigzag = [(2, f"z{i}", p, k) for i in range(12) for k, p in enumerate((f"z{i + 1}", f"y{i}") if i % 2 else (f"y{i}", f"z{i + 1}"))]
