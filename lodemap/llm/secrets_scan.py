@@ -24,7 +24,9 @@ SENSITIVE = (
     "cookie", "webhook", "dsn",
 )
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.IGNORECASE | re.ASCII)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Characters of a candidate, at least.
+LEAST = 12
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 #: Characters between a sensitive name and a candidate, at most.
 REACH = 40
 #: Characters of surrounding text on either side that prime the compressor.
@@ -48,6 +50,15 @@ DICTIONARY = (
 ).encode()
 
 
+def without_copies(text: str, candidate: str) -> list[str]:
+    """Characters of ``text``, those empty that belong to ``LEAST`` or more in a row that ``candidate`` has too."""
+    out = list(text)
+    for i in range(len(text) - LEAST + 1):
+        if text[i : i + LEAST] in candidate:
+            out[i : i + LEAST] = [""] * LEAST
+    return out
+
+
 class Novelty:
     """Bytes that a candidate adds to its compressed surroundings, the compressor being primed with :data:`DICTIONARY`."""
 
@@ -58,7 +69,8 @@ class Novelty:
         self.compressor = zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def __call__(self, before: str, candidate: str, after: str) -> int:
-        around = (before + " " + after).encode()
+        # Another copy of the candidate, or of a part of it that is as long as a candidate, doesn't make it less novel.
+        around = ("".join(without_copies(before, candidate)[-CONTEXT:]) + " " + "".join(without_copies(after, candidate)[:CONTEXT])).encode()
         return len(self.compressor.compress(around + candidate.encode())) - len(self.compressor.compress(around))
 
 
@@ -86,7 +98,9 @@ def novel_spans(text: str, known: list[tuple[str, int, int]], novelty: Novelty,
                 continue
             if any(s < m.end() and m.start() < e for _, s, e in known):
                 continue
-            if novelty(text[max(0, m.start() - CONTEXT) : m.start()], word, text[m.end() : m.end() + CONTEXT]) >= least * len(word):
+            # So much wider that copies over the edge of the context are known.
+            wide = CONTEXT + LEAST - 1
+            if novelty(text[max(0, m.start() - wide) : m.start()], word, text[m.end() : m.end() + wide]) >= least * len(word):
                 found.append(("novel", m.start(), m.end()))
     return found
 

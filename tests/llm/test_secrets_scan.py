@@ -41,6 +41,22 @@ def test_novel_strings_only_where_they_are_secret():
         assert scan(clean, novelty) == []
 
 
+def test_secrets_written_twice():
+    r = random.Random(6)
+    novelty = Novelty()
+    for n in (16, 24, 32, 64):
+        for _ in range(20):
+            key = "1a" + "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n - 2))
+            for text in (f"auth header {key}\n" * 2, f"set auth={key} and send\nAuthorization: Bearer {key}\n"):
+                clean = redact(text, novelty)
+                assert key not in clean and clean.count("[secret]") == 2, text
+    key = "1aK8vQz2LmX0rTy7"
+    for gap in range(220, 280):  # the first copy passes the edge of the second one's context
+        assert redact(f"auth {key} {'x y ' * 70}"[: 5 + gap] + f" auth {key}", novelty).count("[secret]") == 2
+    for clean in ("the private key is your_api_key_here_123 for now\n" * 2, "session cookie xxxxxxxxxxxx1234\n" * 3):
+        assert scan(clean, novelty) == []
+
+
 def test_rows_and_redaction(spark, make, odd_rows):
     rows = odd_rows + [(20, 'a token = "0123456789abcdef0123456789abcdef0123" b'), (21, "AKIA" + "Z" * 12)]
     got = {(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base) for r in find_secrets(make(rows)).collect()}
