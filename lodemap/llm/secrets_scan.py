@@ -27,6 +27,10 @@ _SENSITIVE = re.compile("|".join(SENSITIVE), re.IGNORECASE | re.ASCII)
 #: Characters of a candidate, at least.
 LEAST = 12
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+#: What may stand between two parts of one secret, a part, and what ends a line (``mark``: and a key block).
+_JOINT = re.compile(r"\.|[ \t]*(?:\r?\n|\\n|\\r\\n)(?:\s|\\n|\\r)*")
+_PART = re.compile(r"[A-Za-z0-9+/_=-]+")
+_LINE_END = re.compile(r"""["'`,;]*[ \t]*(?:\Z|(?:[\r\n]|\\[rn])+[ \t]*(?P<mark>-----END)?)""")
 #: Characters between a sensitive name and a candidate, at most.
 REACH = 40
 #: Characters of surrounding text on either side that prime the compressor.
@@ -35,6 +39,16 @@ CONTEXT = 256
 #: 0.5; random hexadecimal digits take 0.7 to 1 as literals in so short an input, base64 0.9 to 1.
 NOVELTY = 0.65
 
+#: Share of letter pairs from which on letters are like a word: 97% of the identifiers of 12 and more letters in Python's
+#: library are, and 0.5% of random letters of both cases. A compressor with little text before it takes any word for novel.
+WORDLIKE = 0.6
+PAIRS = set((
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si "
+    "om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa "
+    "im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op sa ay ex ke ui fr oo ag rd ck ei sc au qu ue eu gu ga do da bi "
+    "bo ba ub ib ob cr cl cu sp tt ff mm nn rr pp gr br dr ef if ki ok ap ip up av ov va vo fu mu nu lu ru du bu nk nf rm rn rk rv ds ls ms ks ps"
+).split())
+
 #: What code around secrets is made of: names, fillers and runs that aren't secret themselves.
 DICTIONARY = (
     "const let var public static final private protected string return import export default class function config settings "
@@ -85,26 +99,88 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def wordlike(word: str) -> bool:
+    """Whether most neighbouring letters of ``word`` are pairs that words are made of; a capital only begins one."""
+    pairs = [a + b for a, b in zip(word, word[1:]) if a.isalpha() and b.isalpha()]
+    return sum(p.lower() in PAIRS and (p[1].islower() or p.isupper()) for p in pairs) >= WORDLIKE * len(pairs)
+
+
+def _may_be(word: str) -> bool:
+    return len(word) >= LEAST and any(c.isalpha() for c in word) and (any(c.isdigit() for c in word) or not wordlike(word))
+
+
 def novel_spans(text: str, known: list[tuple[str, int, int]], novelty: Novelty, least: float = NOVELTY) -> list[tuple[str, int, int]]:
-    """Candidates with a digit and a letter, up to ``REACH`` characters after a sensitive name, that nothing in ``known`` overlaps."""
-    found, done = [], 0
+    """Candidates up to ``REACH`` characters after a sensitive name, and what goes on from a secret, that nothing in ``known`` overlaps.
+
+    A candidate has a letter and, if it is like a word, a digit.
+    """
+    found: list[tuple[str, int, int]] = []
+    taken = bytearray(len(text))
+
+    def take(start: int, end: int, report: bool = True) -> None:
+        taken[start:end] = b"\1" * (end - start)
+        if report:
+            found.append(("novel", start, end))
+
+    def secret(start: int, end: int, first: int) -> bool:
+        """``first``: where the first part begins, if this one goes on from a secret. Parts of one secret aren't context of each other."""
+        word = text[start:end]
+        if not _may_be(word):
+            return False
+        # So much wider that copies over the edge of the context are known.
+        wide, stop = CONTEXT + LEAST - 1, end
+        while stop < end + wide and (joint := _JOINT.match(text, stop)) and (m := _PART.match(text, joint.end())) and _may_be(m[0]):
+            stop = m.end()
+        return novelty(text[max(0, first - wide) : first], word, text[stop : stop + wide]) >= least * len(word)
+
+    def follow(start: int, end: int) -> int:
+        """Takes the parts that go on directly after a secret, by a dot or a line break; gives the end of the last one."""
+        first, last, lines, skipped = start, end, 1, []
+        while (joint := _JOINT.match(text, end)) and (m := _PART.match(text, joint.end())):
+            word, dot = m[0], joint[0] == "."
+            lines += not dot
+            if (before := taken.find(1, m.start(), m.end()) >= 0) or secret(*m.span(), first) or _is_rest(text, m, dot, lines, end - start):
+                for s, e in [*skipped, *([] if before else [m.span()])]:
+                    take(s, e)
+                skipped, last = [], m.end()
+            elif dot or len(word) == end - start:  # between two parts of one token or block it belongs to them
+                skipped.append(m.span())
+            else:
+                break
+            start, end = m.span()
+        return last
+
+    for _, s, e in known:
+        take(s, e, report=False)
+    for kind, s, e in known:
+        if kind in ("assign", "access"):
+            follow(s, e)
+    done = 0
     for name in _SENSITIVE.finditer(text):
         # From the name on, or from where the last candidate ended; a candidate starts within reach and may be of any length.
-        for m in _CANDIDATE.finditer(text, max(done, name.end())):
-            if m.start() > name.end() + REACH:
-                break
-            done, word = m.end(), m[0]
-            if word.isalpha() or not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
-                continue
-            if any(s < m.end() and m.start() < e for _, s, e in known):
-                continue
-            # So much wider that copies over the edge of the context are known.
-            wide = CONTEXT + LEAST - 1
-            if novelty(text[max(0, m.start() - wide) : m.start()], word, text[m.end() : m.end() + wide]) >= least * len(word):
-                found.append(("novel", m.start(), m.end()))
+        at = max(done, name.end())
+        while (m := _CANDIDATE.search(text, at)) and m.start() <= name.end() + REACH:
+            at = done = m.end()
+            if taken.find(1, m.start(), m.end()) >= 0:
+                at = done = follow(*m.span())
+            elif secret(*m.span(), m.start()):
+                take(*m.span())
+                at = done = follow(*m.span())
     return found
 
 
+def _is_rest(text: str, m: re.Match, dot: bool, lines: int, width: int) -> bool:
+    """Whether a part too short to be judged ends a secret: the last line of a block, or the last short part of a token."""
+    word = m[0]
+    if len(word) >= LEAST and dot:
+        return False
+    if dot:
+        return all(any(f(c) for c in word) for f in (str.isdigit, str.islower, str.isupper))
+    if len(word) > width or not (ends := _LINE_END.match(text, m.end())):
+        return False
+    return bool(ends["mark"]) or lines > 2 and (any(c in "0123456789+/=" for c in word) or not wordlike(word))
+
+
 def scan(text: str | None, novelty: Novelty) -> list[tuple[str, int, int]]:
     if not text:
         return []

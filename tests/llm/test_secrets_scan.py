@@ -57,6 +57,30 @@ def test_secrets_written_twice():
         assert scan(clean, novelty) == []
 
 
+def test_all_parts_of_a_secret():
+    r = random.Random(7)
+    novelty = Novelty()
+    part = lambda n, letters=string.ascii_letters + string.digits: "".join(r.choice(letters) for _ in range(n))
+    for _ in range(20):
+        token = [part(36), part(90), part(43)]
+        assert redact(f"Authorization: Bearer {'.'.join(token)}\nand so on", novelty) == "Authorization: Bearer [secret].[secret].[secret]\nand so on"
+        assert redact(f"the bot's auth is {part(24)}.{part(5)}A.{part(27)}. It works", novelty) == "the bot's auth is [secret].[secret].[secret]. It works"
+        lines = [part(64) for _ in range(5)] + [part(7) + "="]
+        for end in ("\n", "\r\n", "\n    ", "\\n"):
+            text = f"-----BEGIN PRIVATE KEY-----{end}{end.join(lines)}{end}-----END PRIVATE KEY-----{end}"
+            clean = redact(text, novelty)
+            assert not any(x in clean for x in lines) and clean.count("[secret]") == 6 and "-----END PRIVATE KEY-----" in clean, clean
+        assert not any(x in redact(f"password: {lines[0]}\n{lines[1]}\n", novelty) for x in lines)
+    for n in (12, 16, 24):
+        found = sum(len(scan(f"set the auth header to {part(n, string.ascii_letters)} here", novelty)) for _ in range(200))
+        assert found >= 190, n
+    for clean in ("the key characteristics", "our private AbstractSingletonProxyFactoryBean", "authentication", "key: MY_SECRET_NAME", "auth.internationalization"):
+        assert scan(clean, novelty) == []
+    key = part(32) + "1a"
+    for tail in (". The next sentence", ".json", ".com/", "\nThe next line", "\n\nresponsibility\nlies", "\nThanks\n"):
+        assert redact(f"auth {key}{tail}", novelty) == f"auth [secret]{tail}"
+
+
 def test_rows_and_redaction(spark, make, odd_rows):
     rows = odd_rows + [(20, 'a token = "0123456789abcdef0123456789abcdef0123" b'), (21, "AKIA" + "Z" * 12)]
     got = {(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base) for r in find_secrets(make(rows)).collect()}
