@@ -30,6 +30,10 @@ CONTAINERS = {"article", "main", "section", "div", "body", "html", "td", "center
 #: An open paragraph ends where one of these begins.
 _ENDS_P = BLOCKS - {"br", "label", "button", "select", "option", "textarea", "map", "object", "canvas", "audio", "video", "svg", "iframe", "script", "style"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What may stand in a head; all else, and text, begins the body, also where the head has no end tag.
+_IN_HEAD = {"html", "head", "title", "base", "basefont", "bgsound", "link", "meta", "style", "script", "noscript", "noframes", "template"}
+#: Elements of a head whose contents don't end it.
+_HEAD_HOLDS = {"title", "style", "script", "noscript", "noframes", "template"}
 #: A word of a class, id or role that marks boilerplate.
 BOILERPLATE = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie",
@@ -82,6 +86,8 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.end_line()
         self.tags += 1
+        if self.count["head"] and tag not in _IN_HEAD:
+            self._close("head", inside={"template"} if tag == "body" else _HEAD_HOLDS)
         if tag in VOID:
             return
         if tag in _ENDS_P and any(t == "p" for t, _ in self.open[-4:]):
@@ -125,6 +131,8 @@ class Lines(HTMLParser):
         self.handle_starttag(tag, attrs)  # HTML ignores the slash
 
     def handle_data(self, data: str) -> None:
+        if self.dropped and self.open[-1][0] == "head" and not data.isspace():
+            self._close("head")
         if not self.dropped:
             self.words.append(data)
 

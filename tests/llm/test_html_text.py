@@ -32,6 +32,18 @@ def test_boilerplate_goes_and_short_blocks_stay():
     assert main_text(f"<article><h1>Title</h1>{body}<section class='comments'><p>{'comment ' * 80}</p></section></article>") == text
 
 
+def test_heads_without_end_tag():
+    head = '<!doctype html><html lang=en><head><meta charset=utf-8><title>no <b>text</b></title><link rel=x href=y><style>p{}</style><script>1</script>'
+    held = "<noscript><p>Please turn it on</p><img src=x></noscript><template><div>none of this</div></template>"
+    body = "<h1>Title</h1><p>A paragraph of some length that tells the story.</p>"
+    text = "Title A paragraph of some length that tells the story."
+    for start in ("<body>", "<body class=x>\n", "<main>", "<div>", "", "<img src=x>", "</head><body>"):
+        assert main_text(f"{head}{start}{body}</html>") == text, start
+        assert main_text(f"{head}{held}\n{start}{body}</html>") == text, start
+    assert main_text("<head><title>no</title>\nPlain text of the page") == "Plain text of the page"
+    assert main_text("<head><title>no</title>\n</head>") == ""
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>x" * 3000).split().count("x") >= 0.75 * 3000  # of nested containers the innermost that holds enough
     assert main_text("<b>" * 5000 + "word") == "word"
