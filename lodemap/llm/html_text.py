@@ -162,14 +162,10 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
     return ratios >= max((low + high) / 2, float(ratios.mean()) / 5)
 
 
-#: Share of the content lines' text that a container must hold to be the article.
-HOLDS = 0.75
-
-
 def main_text(html: str | None, sigma: float = 1.0) -> str:
-    """The article: all lines of the innermost container that holds most text of the lines chosen by their ratios.
+    """The article: all lines of the innermost container that holds all lines chosen by their ratios.
 
-    Text that no container holds (a fragment) counts as held by the page. Null, empty and text-free pages give "".
+    Text that no container holds (a fragment) is held by the page. Null, empty and text-free pages give "".
     """
     if not html:
         return ""
@@ -186,7 +182,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     own = np.zeros(len(parser.kinds) + 1, np.int64)  # the last: outside of all containers
     for (text, _, around), is_content in zip(lines, chosen.tolist(), strict=True):
         own[around] += len(text) * is_content
-    need = HOLDS * own.sum()
+    need = own.sum()
     held = own.copy()
     for c in range(len(parser.kinds) - 1, -1, -1):  # a container's number is over that of the one around it
         held[parser.kinds[c][1]] += held[c]

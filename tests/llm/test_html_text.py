@@ -44,6 +44,20 @@ def test_heads_without_end_tag():
     assert main_text("<head><title>no</title>\n</head>") == ""
 
 
+def test_all_chosen_text_stays():
+    words = iter(range(10_000))
+    prose = lambda n: " ".join(f"<p>{' '.join(f'word{next(words)}' for _ in range(30))}</p>" for _ in range(n))
+    plain = lambda page: " ".join(re.sub("<[^>]+>", " ", page).split())
+    for inner in (
+        "<div>{}</div><section>{}</section><div>{}</div>", "<div><div>{}</div><div><section>{}</section></div></div><section>{}</section>",
+        "<main><article>{}</article><article>{}</article>{}</main>", "<article>{}</article><article>{}</article><article>{}</article>",
+        "<div>{}</div><article>{}</article><div>{}</div>", "<main>{}</main><div><article>{}</article></div>{}", "{}<div>{}</div>{}",
+    ):
+        body = inner.format(prose(1), prose(12), prose(2))
+        page = f'<html><head><title>no</title></head><body><nav><a href=x>menu</a></nav>{body}<footer>foot</footer></body></html>'
+        assert main_text(page) == plain(body), inner
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>x" * 3000).split().count("x") >= 0.75 * 3000  # of nested containers the innermost that holds enough
     assert main_text("<b>" * 5000 + "word") == "word"
