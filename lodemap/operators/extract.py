@@ -154,12 +154,41 @@ JS_START = r"^\s*(?:import\s|export\s+(?:type\s+)?[*{])"
 JS_DONE = "|".join(f"(?:{P.JS[k]})" for k in ("import_from", "import_bare", "reexport", "export_clause"))
 
 
+def _sums(structure: Column, opens: str, closes: str) -> Column:
+    """Of one kind of brackets in a line: how much it adds to the depth, the lowest point on the way, whether it has any."""
+    found = F.regexp_extract_all(structure, F.lit(f"[{opens}{closes}]"), 0)
+    zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("low"), F.lit(False).alias("any"))
+
+    def step(s: Column, c: Column) -> Column:
+        total = s["sum"] + F.when(c == opens, 1).otherwise(-1)
+        return F.struct(total.alias("sum"), F.least(s["low"], total).alias("low"), F.lit(True).alias("any"))
+
+    return F.when(structure.contains(opens) | structure.contains(closes), F.aggregate(found, zero, step)).otherwise(zero)
+
+
+def _lines_to_close(sums: str, i: Column) -> Column:
+    """How many lines below line ``i`` (from 0) the bracket closes that it leaves open, or the first one after it; null if none does."""
+    own = F.get(F.col(sums), i)
+    start = F.struct((own["sum"] - own["low"]).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("shut"))
+
+    def step(s: Column, x: Column) -> Column:
+        shut = s["shut"] | F.when(s["depth"] > 0, s["depth"] + x["low"] <= 0).otherwise(x["any"] & (x["sum"] <= 0))
+        return F.struct(F.when(s["depth"] > 0, s["depth"] + x["sum"]).otherwise(F.greatest(x["sum"], F.lit(0))).alias("depth"),
+                        F.when(s["shut"], s["n"]).otherwise(s["n"] + 1).alias("n"), shut.alias("shut"))
+
+    def within(reach: Column) -> Column:
+        return F.aggregate(F.slice(sums, i + 2, reach), start, step, lambda s: F.when(s["shut"], s["n"]))
+
+    # Most close soon; the last one is the whole file.
+    return F.coalesce(*[within(r) for r in (F.lit(8), F.lit(128), F.lit(2048), F.size(sums))])
+
+
 def lines(files: DataFrame) -> DataFrame:
     """Every line with its blanked views and what its file says about it.
 
-    ``line`` counts from 1. ``depth`` is the bracket depth at its start, ``block_end`` where the braces that open on it
-    or the three lines below close, ``more`` the lines that continue an open parenthesis, ``stmt`` a joined import or
-    export statement.
+    ``line`` counts from 1. ``depth`` is the bracket depth at its start, ``closes`` the line below on which a parenthesis
+    that it opens closes, ``block_end`` where the braces that open on it or the three lines below close (those of ``closes``,
+    if that is further down), ``more`` the lines that continue an open parenthesis, ``stmt`` a joined import or export statement.
     """
     spread = files.filter(F.col("content").isNotNull()).repartition(*[F.col(c) for c in FILE])
     views = lex(spread)
@@ -171,15 +200,25 @@ def lines(files: DataFrame) -> DataFrame:
 
     arrays = views.select(K, "path", "language", split("content").alias("_r"), split("text").alias("_t"), split("structure").alias("_s"))
     is_js = F.col("language").isin(P.JS_LANGUAGES)
-    reach = F.when(F.col("language") == "powershell", 20).otherwise(8)
+    is_code, is_sql = F.col("language").isin(P.CODE_LANGUAGES), F.col("language") == "sql"
+    # Where a line's view doesn't close by its brackets (quotes that are none), so many lines are looked at.
+    least = F.when(F.col("language") == "powershell", 20).otherwise(8)
+    arrays = (
+        arrays.withColumn("_p", F.when(is_code | is_sql, F.transform("_s", lambda x: _sums(x, "(", ")"))))
+        .withColumn("_c", F.when(is_js, F.transform("_s", lambda x: _sums(x, "{", "}"))))
+    )
 
-    def continued(t: Column, i: Column) -> Column:
-        is_open = t.rlike(r"(?i)\b(?:def|func|function|fun|fn|param)\b|\(") & ~t.rlike(BALANCED) & _balanced_inner(t).isNull()
-        return F.when(F.col("language").isin(P.CODE_LANGUAGES) & is_open, F.concat_ws(" ", F.slice("_t", i + 2, reach)))
+    def closing(t: Column, i: Column) -> Column:
+        is_open = is_code & t.rlike(r"(?i)\b(?:def|func|function|fun|fn|param)\b|\(") & ~t.rlike(BALANCED) & _balanced_inner(t).isNull()
+        is_table = is_sql & t.rlike(P.SQL["table"]) & (_group(t, P.SQL["table"]).isNotNull())
+        n = F.when(is_open | is_table, _lines_to_close("_p", i))
+        return F.struct(n.alias("n"), F.when(is_open, F.concat_ws(" ", F.slice("_t", i + 2, F.greatest(least, n)))).alias("more"))
 
     def statement(t: Column, i: Column) -> Column:
         code = _strip(t)
-        below = F.transform(F.slice("_t", i + 2, F.lit(80)), _strip)
+        # To where the braces close, and on for the source.
+        n = F.when(code.contains("{"), _lines_to_close("_c", i))
+        below = F.transform(F.slice("_t", i + 2, F.coalesce(n, F.lit(0)) + 80), _strip)
         stop = F.array_position(F.transform(below, lambda x: F.when(x.endswith(";"), 1).otherwise(0)), 1).cast("int")
         joined = F.concat_ws(" ", code, F.array_join(F.filter(F.when(stop > 0, F.slice(below, 1, F.greatest(stop, F.lit(1)))).otherwise(below), lambda x: x != ""), " "))
         return F.when(is_js & code.rlike(JS_START) & ~code.rlike(JS_DONE) & ~code.endswith(";"), joined)
@@ -187,8 +226,9 @@ def lines(files: DataFrame) -> DataFrame:
     rows = arrays.select(
         K, "path", "language", F.size("_r").alias("n"),
         F.posexplode(F.arrays_zip(F.col("_r").alias("raw"), F.col("_t").alias("text"), F.col("_s").alias("structure"),
-                                  F.transform("_t", continued).alias("more"), F.transform("_t", statement).alias("stmt"))).alias("_i", "_l"))
-    base = rows.select(K, "path", "language", "n", (F.col("_i") + 1).alias("line"), "_l.*")
+                                  F.transform("_t", closing).alias("shut"), F.transform("_t", statement).alias("stmt"))).alias("_i", "_l"))
+    base = rows.select(K, "path", "language", "n", (F.col("_i") + 1).alias("line"), "_l.raw", "_l.text", "_l.structure", F.col("_l.shut.more").alias("more"),
+                       "_l.stmt", (F.col("_i") + 1 + F.col("_l.shut.n")).alias("closes"))
     brackets = F.transform(F.regexp_extract_all("structure", F.lit(r"[\[\](){}]"), 0), lambda c: F.when(c.isin("(", "[", "{"), 1).otherwise(-1))
     zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("low"))
     sums = F.when(F.col("structure").rlike(r"[\[\](){}]"), F.aggregate(brackets, zero, lambda s, d: F.struct(
@@ -227,7 +267,12 @@ def _block_ends(df: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy(*FILE).orderBy("line")
     ends = [F.col("_first.at"), *[F.lead("_first.at", i).over(w) for i in (1, 2, 3)]]
-    return closed.withColumn("block_end", F.coalesce(*ends, F.col("line"))).drop("_pos", "_ch", "_run", "_level", "_close", "_first")
+    # A head of more than three further lines meets the line that ends it by that line's number.
+    head = F.when(F.col("closes") > F.col("line") + 3, F.col("closes"))
+    at_close = Window.partitionBy(*FILE, F.coalesce(head, F.col("line")))
+    near = closed.withColumn("_near", F.coalesce(*ends)).withColumn("_head", head)
+    far = F.max(F.when(F.col("_head").isNull() & ~F.col("code").endswith(";"), F.col("_near"))).over(at_close)
+    return near.withColumn("block_end", F.coalesce(F.when(F.col("_head").isNotNull(), far), F.col("_near"), F.col("line"))).drop("_near", "_head").drop("_pos", "_ch", "_run", "_level", "_close", "_first")
 
 
 def _next_stop(stop: Column) -> Column:
@@ -556,7 +601,7 @@ SECTION = [K, "path", "decl_seq", "name", "level", "line_start", "line_end"]
 
 def other_lines(files: DataFrame) -> DataFrame:
     """Lines of documents, configuration, schemas and markup with the windows their rules share."""
-    keep = [K, "path", "language", "n", "line", "raw", "code", "blank", "indent", "depth", "block_end"]
+    keep = [K, "path", "language", "n", "line", "raw", "code", "blank", "indent", "depth", "block_end", "closes"]
     return _with_prev(lines(files.filter(F.col("language").isin(P.OTHER_LANGUAGES))).select(*keep))
 
 
@@ -728,7 +773,13 @@ def sql(o: DataFrame) -> dict[str, DataFrame]:
         kind, name = F.when(found.isNotNull(), k).otherwise(kind), F.coalesce(found, name)
     up = Window.partitionBy(*FILE).orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, 0)
     stop = F.last(F.when(code.contains(";"), F.col("line")), True).over(up)
-    s = s.withColumn("_k", kind).withColumn("_n", name).withColumn("_end", F.coalesce(stop, F.least(F.col("line") + 40, F.col("n"))))
+    # A statement ends with its semicolon or before the next one; without both a table ends where its parenthesis does.
+    s = s.withColumn("_k", kind).withColumn("_n", name)
+    below = Window.partitionBy(*FILE).orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("_k").isNotNull(), F.col("line")), True).over(below) - 1
+    s = s.withColumn("_stop", stop).withColumn("_last", last)
+    unended = F.greatest(F.col("line"), F.least(F.coalesce(F.when(F.col("_k") == "table", F.col("closes")), F.col("n")), F.col("_last")))
+    s = s.withColumn("_end", F.when(F.col("_stop") <= F.coalesce("_last", "n"), F.col("_stop")).otherwise(unended))
     first = s.filter("_k is not null").groupBy(K, "path", "_k", "_n").agg(F.min("line").alias("line"))
     heads = s.filter("_k is not null").join(first, [K, "path", "_k", "_n", "line"], "left_semi")
     below = _in_block(s, F.when(F.col("_k").isNotNull(), F.struct("line", F.col("_end").alias("end"), F.col("_k").alias("k"))))

@@ -230,3 +230,26 @@ def test_parameters_nest_to_any_depth(spark):
     df = spark.createDataFrame([(t,) for t, _ in texts], "t string")
     got = {r.t: r.p for r in df.select("t", X.params_of(F.col("t"), F.lit(False)).alias("p")).collect()}
     assert got == dict(texts)
+
+
+def test_statements_of_any_length(spark):
+    names = [f"p{i}" for i in range(300)]
+    each = ",\n".join(f"  {n}" for n in names)
+    typed = ",\n".join(f"  {n}: Int" for n in names)
+    files = {
+        "f.ts": f"import {{\n{each}\n}} from './barrel'\nexport {{\n{each}\n}} from './out'\nexport function f(\n{each}\n) {{\n  g(1);\n}}\nclass C {{\n  m(\n{each}\n  ) {{\n    h(1);\n  }}\n}}\n",
+        "f.py": f"def f(\n{each},\n):\n    return g(1)\n", "F.kt": f"fun f(\n{typed}\n) {{\n  g(1)\n}}\n",
+        "f.ps1": "function F {\n  param(\n" + ",\n".join(f"    ${n}" for n in names) + "\n  )\n}\n",
+        "t.sql": f"CREATE TABLE t (\n{each.replace(',', ' INT,')} INT\n)\nCREATE TABLE u\n(\n{each.replace(',', ' INT,')} INT\n)\nINSERT INTO x\n",
+    }
+    df = with_language(spark.createDataFrame([(1, p, c) for p, c in files.items()], "repo_id long, path string, content string"))
+    found = {k: [r.asDict() for r in v.collect()] for k, v in X.extract(df).items() if k in ("functions", "imports", "exports", "definitions", "calls")}
+    want = tuple(names)
+    assert of(found, "functions", "f.ts", "name", "params", "line_start", "line_end") == [("f", want, 605, 908), ("C.m", want, 910, 1213)]
+    assert [(s, len(n)) for s, n in of(found, "imports", "f.ts", "source", "specifiers")] == [("./barrel", 300), ("./out", 300)]
+    assert len(of(found, "exports", "f.ts", "name")) == 301
+    assert ("f", "g") in of(found, "calls", "f.ts", "caller", "callee") and ("C.m", "h") in of(found, "calls", "f.ts", "caller", "callee")
+    assert of(found, "functions", "f.py", "name", "params") == [("f", want)]
+    assert of(found, "functions", "F.kt", "name", "params", "line_end") == [("f", want, 304)]
+    assert of(found, "functions", "f.ps1", "name", "params") == [("F", want)]
+    assert of(found, "definitions", "t.sql", "name", "fields", "line_end") == [("t", want, 302), ("u", want, 605)]
