@@ -39,8 +39,8 @@ CONTEXT = 256
 #: 0.5; random hexadecimal digits take 0.7 to 1 as literals in so short an input, base64 0.9 to 1.
 NOVELTY = 0.65
 
-#: Share of letter pairs from which on letters are like a word: 97% of the identifiers of 12 and more letters in Python's
-#: library are, and 0.5% of random letters of both cases. A compressor with little text before it takes any word for novel.
+#: Share of letter pairs from which on letters are like a word: about 96% of 65,631 distinct strings of 12 and more characters
+#: without a digit in Python sources are, and about 0.5% of 12 random letters of both cases. A compressor with little text before it takes any word for novel.
 WORDLIKE = 0.6
 PAIRS = set((
     "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si "
