@@ -28,15 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the session names in ``spark.checkpoint.dir``, and read from there afterwards.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``. Local sessions without one get one below their warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return folder.rstrip("/")
 
-    A session without that setting gets a folder below its warehouse (only seen in local tests).
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, and read from there afterwards."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     frozen = df.checkpoint(eager=True)
     return frozen.select(*[F.col(f"`{c}`").alias(c) for c in frozen.columns])
 
@@ -138,3 +144,33 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+#: Bits of one slice of a bit table on its way to the driver.
+_SLICE_BITS = 1 << 20
+
+
+def bit_table(slots: DataFrame, bits: int) -> np.ndarray:
+    """``bits`` bits (a power of two from 2^16 to 2^26) as bytes, those in ``slots.slot`` set.
+
+    Slots become words on the map side, words become slices of 128 KB: the driver gets 64 rows at most.
+    """
+    words = slots.groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 31 AS INT))")).alias("bits"))
+    size = min(bits, _SLICE_BITS) // 32
+    schema = pa.schema([("slice", pa.int64()), ("held", pa.binary())])
+
+    def run(group: pa.Table) -> pa.Table:
+        out = np.zeros(size, "<u4")
+        word = group["word"].to_numpy()
+        out[word % size] = group["bits"].to_numpy().astype("<u4")
+        return pa.Table.from_batches([batch(schema, slice=[int(word[0]) // size], held=[out.tobytes()])])
+
+    out = np.zeros(bits // 8, np.uint8)
+    for row in words.withColumn("slice", (F.col("word") / size).cast("long")).groupBy("slice").applyInArrow(run, "slice long, held binary").collect():
+        out[row["slice"] * size * 4 :][: size * 4] = np.frombuffer(row["held"], np.uint8)
+    return out
+
+
+def in_table(flags: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which of ``slots`` (int64) are set in a bit table."""
+    return (flags[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
