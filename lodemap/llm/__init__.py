@@ -12,7 +12,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODULES = [
     "packing", "html_text", "decontam", "url_filter", "token_count", "lm_score", "toxicity", "quality", "secrets_scan", "jaccard_join",
-    "filter_audit", "prefix_trie",
+    "filter_audit", "warc", "prefix_trie",
 ]
 
 
