@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodemap.llm.common import ALNUM, arrow_map, batch, blocks, cut, gram_hashes, mix, table, word_hashes
+from lodemap.llm.common import ALNUM, arrow_map, batch, bit_table, blocks, cut, gram_hashes, in_table, mix, table, word_hashes
 
 SPAN = 10
 GRAM = 5
@@ -86,19 +86,12 @@ def seed_filter(items: DataFrame, n_items: int, max_bits: int = 1 << 26) -> np.n
     """A Bloom filter of the items' hashes: about 64 bits for each, 8 MB at most. It only spares work; the join decides."""
     bits = min(max_bits, max(1 << 16, 1 << math.ceil(math.log2(64 * max(1, n_items)))))
     slots = F.array(F.col("hash").bitwiseAND(bits - 1), F.shiftrightunsigned("hash", 32).bitwiseAND(bits - 1))
-    words = (
-        items.select(F.explode(slots).alias("slot"))
-        .groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 31 AS INT))")).alias("bits"))
-    )  # at most bits / 32 rows, whatever the benchmark's size
-    found = words.toPandas()
-    flags = np.zeros((bits // 32, 4), np.uint8)
-    flags[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype("<u4").view(np.uint8).reshape(-1, 4)
-    return flags.reshape(-1)
+    return bit_table(items.select(F.explode(slots).alias("slot")), bits)
 
 
 def _in_filter(flags: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     a, b = _probes(hashes, len(flags) * 8)
-    return ((flags[a >> 3] >> (a & 7).astype(np.uint8)) & (flags[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+    return in_table(flags, a) & in_table(flags, b)
 
 
 def doc_seeds(docs: DataFrame, flags, lengths: list[int], span: int, gram: int, id_col: str, text_col: str) -> DataFrame:
@@ -175,6 +168,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     sizes = {r["len"]: r["n"] for r in items.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most ``span`` rows
     flags = spark.sparkContext.broadcast(seed_filter(items, sum(sizes.values())))
     seen = cut(doc_seeds(docs, flags, sorted(sizes), span, gram, id_col, text_col))
+    flags.destroy()
     seeds = seen.filter(F.size("seeds") > 0).select("doc_id", "key", F.explode("seeds").alias("x")).select("doc_id", "key", "x.*")
     spans = cut(extend(seeds.join(items, ["len", "hash"]), span, gram))
     before = Window.partitionBy("doc_id", "key").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
