@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemap.llm.common import cut, table
+from lodemap.llm.common import cut, shared_folder, table
 from lodemap.llm.decontam import decontaminate
 from lodemap.llm.jaccard_join import jaccard_join
 from lodemap.llm.packing import pack_documents
@@ -16,6 +16,14 @@ from lodemap.llm.secrets_scan import redact_secrets
 from lodemap.llm.toxicity import drop_toxic, fit, trainable
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many marks in front as tell it from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents over their language's toxicity threshold."""
     return drop_toxic(docs, fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), trainable()))
@@ -35,10 +43,14 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold ten consecutive words of a benchmark item."""
-    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id", "key")
-    keyed = docs.withColumn("_key", F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")))
-    return keyed.join(hit, keyed["_key"] == hit["key"], "left_anti").drop("_key")
+    """Without the documents that hold ten consecutive words of a benchmark item.
+
+    Rows are told apart by id and text; null ids and texts stay unless hit; empty tables hit nothing.
+    """
+    hit = cut(decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id", "key"))
+    key = free_name(docs, "key")
+    keyed = docs.withColumn(key, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+    return keyed.join(hit, keyed[key] == hit["key"], "left_anti").drop(key)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +74,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared checkpoint folder and read again by the next."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    at = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)

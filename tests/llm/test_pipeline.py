@@ -10,7 +10,7 @@ from .test_decontam import brute as contaminated
 def test_registered():
     found = registry()
     numbers = sorted(int(n[2:].split("_")[0]) for n in found if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in found and [s for s, _ in corpus_pipeline.STAGES][0] == "toxicity"
+    assert numbers == list(range(1, 14)) and "pipeline" in found and [s for s, _ in corpus_pipeline.STAGES][0] == "toxicity"
 
 
 def test_stages_against_brute_force(spark, make, prose, odd_rows, tmp_path):
