@@ -7,12 +7,15 @@ handles all repositories at once; keys are always (repo_id, node id), so one hug
 from __future__ import annotations
 
 import re
+from heapq import heapify, heappop, heappush
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodemap.functions import dims
 from lodemap.functions.text import directory, lookup, normalize, segments
+from lodemap.plans.bounded import TASK_ROWS, TASK_STEPS, split_groups
 from lodemap.plans.cut import cut
 
 K = "repo_id"
@@ -87,12 +90,72 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Fewest-hop path, ignoring direction, for each (repo_id, start, end); no row when there is none.
 
-    Breadth first for all pairs together. Among equal paths the one found first wins: a path is ranked by the
-    edge orders along it, which is the order a queue would visit them in. Undirected levels touch only the two
-    levels before them, so each round tests new nodes against those alone and not against everything visited.
+    Among equal paths the one found first wins: a path is ranked by the edge orders along it, which is the order a queue
+    would visit them in, then by its nodes. Repositories of bounded size are searched in one task each, one search per
+    start for all its ends; larger ones breadth first over the whole cluster.
     """
     adj = cut(adjacency(collapse_edges(edges)).select(K, "id", "neighbour", "adj_ord"))
     want = cut(pairs.select(K, "start", "end").distinct())
+    sizes = want.groupBy(K).agg(F.count("*").alias("n"), F.countDistinct("start").alias("starts")).join(adj.groupBy(K).agg(F.count("*").alias("edges")), K, "left")
+    n_edges = F.coalesce("edges", F.lit(0))
+    here, others, any_others = split_groups(sizes, K, (F.col("n") + n_edges <= TASK_ROWS) & (F.col("starts") * n_edges <= TASK_STEPS))
+    found = _paths_in_tasks(adj.join(here, K, "left_semi"), want.join(here, K, "left_semi"))
+    if any_others:
+        found = found.unionByName(_paths_by_rounds(adj.join(others, K, "left_semi"), want.join(others, K, "left_semi")))
+    return found
+
+
+def _search(near: dict[str, list[tuple]], start: str, ends: set[str]) -> dict[str, list[str]]:
+    """First-found shortest path from ``start`` to each reachable one of ``ends``. ``near``: (edge order, neighbour) of each node."""
+    parent: dict[str, str | None] = {start: None}
+    found = {start: [start]} if start in ends else {}
+    level = {start: (0, 0)}  # rank of the edge orders that lead there, rank of the nodes on the way
+    while level and len(found) < len(ends):
+        best: dict[str, tuple] = {}
+        for node, (by_edges, by_nodes) in level.items():
+            for order, to in near.get(node, ()):
+                if to not in parent and ((key := (by_edges, order, by_nodes, node)) < best.get(to, (float("inf"),))):
+                    best[to] = key
+        edges_rank = {k: i for i, k in enumerate(sorted({(a, o) for a, o, _, _ in best.values()}))}
+        nodes_rank = {to: i for i, (_, to) in enumerate(sorted((n, to) for to, (_, _, n, _) in best.items()))}
+        level = {to: (edges_rank[a, o], nodes_rank[to]) for to, (a, o, _, _) in best.items()}
+        parent.update((to, by) for to, (_, _, _, by) in best.items())
+        for end in ends & best.keys():
+            path, at = [], end
+            while at is not None:
+                path.append(at)
+                at = parent[at]
+            found[end] = path[::-1]
+    return found
+
+
+def _paths_in_tasks(adj: DataFrame, want: DataFrame) -> DataFrame:
+    repo = adj.schema[K].dataType.simpleString()
+
+    def run(group: pa.Table) -> pa.Table:
+        near: dict[str, list[tuple]] = {}
+        ends: dict[str, set[str]] = {}
+        for a, b, order, wanted in zip(*(group[c].to_pylist() for c in ("a", "b", "adj_ord", "wanted")), strict=True):
+            if wanted:
+                ends.setdefault(a, set()).add(b)
+            else:
+                near.setdefault(a, []).append((order, b))
+        rows = [(start, end, path) for start, to in ends.items() for end, path in _search(near, start, to).items()]
+        start, end, path = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table({
+            K: pa.array([group[K][0].as_py()] * len(rows), group.schema.field(K).type), "start": pa.array(start, pa.string()), "end": pa.array(end, pa.string()),
+            "path": pa.array(path, pa.list_(pa.string())), "hops": pa.array([len(p) - 1 for p in path], pa.int32()),
+        })
+
+    order = adj.schema["adj_ord"].dataType
+    rows = adj.select(K, F.col("id").alias("a"), F.col("neighbour").alias("b"), "adj_ord", F.lit(False).alias("wanted"))
+    asked = want.select(K, F.col("start").alias("a"), F.col("end").alias("b"), F.lit(None).cast(order).alias("adj_ord"), F.lit(True).alias("wanted"))
+    return rows.unionByName(asked).groupBy(K).applyInArrow(run, f"{K} {repo}, start string, end string, path array<string>, hops int")
+
+
+def _paths_by_rounds(adj: DataFrame, want: DataFrame) -> DataFrame:
+    """Breadth first for all pairs together. Undirected levels touch only the two levels before them, so each round tests new
+    nodes against those alone and not against everything visited."""
     order_type = adj.schema["adj_ord"].dataType.simpleString()
     here = want.select(K, "start", "end", F.col("start").alias("id"),
                        F.array().cast(f"array<{order_type}>").alias("key"), F.array("start").alias("path"))
@@ -288,17 +351,77 @@ def shared_owner_pairs(owners: DataFrame) -> DataFrame:
 def dependency_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Longest dependency path ending at each node over the hierarchy relations: (repo_id, id, rank, settled).
 
-    Peels nodes without open inputs, all repositories together. A repository left with cycles only releases the
-    node with fewest open inputs (lowest order next), one per round, until every node has its rank (so ``settled`` is always true).
+    Nodes without open inputs are peeled off; when only cycles are left the node with fewest open inputs (lowest order next)
+    is released, until every node has its rank (so ``settled`` is always true). A release hangs on everything before it in
+    its repository: repositories of bounded size are peeled in one task each, larger ones by rounds over the whole cluster.
     """
     order = "node_ord" if "node_ord" in nodes.columns else "id"
     arcs = cut(
         collapse_edges(edges, nodes).filter(F.col("type").isin(dims.HIERARCHY_EDGES))
         .select(K, F.col("source").alias("id"), "target")
     )
+    members = cut(nodes.select(K, "id", F.col(order).alias("o")))
+    sizes = members.groupBy(K).agg(F.count("*").alias("n")).join(arcs.groupBy(K).agg(F.count("*").alias("arcs")), K, "left")
+    here, others, any_others = split_groups(sizes, K, F.col("n") + F.coalesce("arcs", F.lit(0)) <= TASK_ROWS)
+    ranks = _ranks_in_tasks(members.join(here, K, "left_semi"), arcs.join(here, K, "left_semi"))
+    if any_others:
+        ranks = ranks.unionByName(_ranks_by_rounds(members.join(others, K, "left_semi"), arcs.join(others, K, "left_semi")))
+    return ranks
+
+
+def _peel(count: int, arcs: list[tuple[int, int]]) -> list[int]:
+    """Rank of each of the nodes 0 to ``count`` - 1, which are in the order that breaks ties."""
+    out: list[list[int]] = [[] for _ in range(count)]
+    inputs, rank, done = [0] * count, [0] * count, [False] * count
+    for a, b in arcs:
+        out[a].append(b)
+        inputs[b] += 1
+    ready = [i for i in range(count) if not inputs[i]]
+    stuck = [(n, i) for i, n in enumerate(inputs) if n]
+    heapify(stuck)
+    while ready or stuck:
+        if ready:
+            at = ready.pop()
+        else:
+            n, at = heappop(stuck)  # an entry of an earlier count is passed over
+            if done[at] or n != inputs[at]:
+                continue
+        if done[at]:
+            continue
+        done[at] = True
+        for to in out[at]:
+            rank[to] = max(rank[to], rank[at] + 1)
+            inputs[to] -= 1
+            if not done[to]:
+                if inputs[to] <= 0:
+                    ready.append(to)
+                else:
+                    heappush(stuck, (inputs[to], to))
+    return rank
+
+
+def _ranks_in_tasks(members: DataFrame, arcs: DataFrame) -> DataFrame:
+    repo, order = members.schema[K].dataType.simpleString(), members.schema["o"].dataType
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = list(zip(*(group[c].to_pylist() for c in ("id", "o", "target")), strict=True))
+        ids = sorted((r for r in rows if r[2] is None), key=lambda r: (r[1] is not None, r[1], r[0]))
+        at = {r[0]: i for i, r in enumerate(ids)}
+        rank = _peel(len(ids), [(at[a], at[b]) for a, _, b in rows if b is not None])
+        return pa.table({
+            K: pa.array([group[K][0].as_py()] * len(ids), group.schema.field(K).type), "id": pa.array([r[0] for r in ids], pa.string()),
+            "rank": pa.array([rank[at[r[0]]] for r in ids], pa.int32()), "settled": pa.array([True] * len(ids), pa.bool_()),
+        })
+
+    none = F.lit(None)
+    rows = members.select(K, "id", "o", none.cast("string").alias("target")).unionByName(arcs.select(K, "id", none.cast(order).alias("o"), "target"))
+    return rows.groupBy(K).applyInArrow(run, f"{K} {repo}, id string, rank int, settled boolean")
+
+
+def _ranks_by_rounds(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     indeg = arcs.groupBy(K, F.col("target").alias("id")).agg(F.count("*").alias("open"))
     todo = cut(
-        nodes.select(K, "id", F.col(order).alias("o")).join(indeg, [K, "id"], "left")
+        nodes.select(K, "id", "o").join(indeg, [K, "id"], "left")
         .select(K, "id", "o", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).alias("rank"))
     )
     done = None

@@ -94,7 +94,31 @@ def test_shortest_path_prefers_early_edges(spark, rows):
     assert rows(G.shortest_paths(edges, pairs), "end", "path") == [("s", ("s",)), ("t", ("s", "b", "t"))]
 
 
-@pytest.mark.skipif(not os.environ.get("LONG_TESTS"), reason="seventy rounds take minutes; set LONG_TESTS to run them")
+def test_paths_and_ranks_are_the_same_in_tasks_and_by_rounds(spark, rows, monkeypatch):
+    """Random cyclic graphs with ties in edge order, once in one task each, once by rounds."""
+    r = random.Random(11)
+    made = [(repo, f"n{a}", f"n{b}", "imports", r.randrange(6)) for repo in (1, 2) for a, b in [(r.randrange(14), r.randrange(14)) for _ in range(26)]]
+    edges = frame(spark, "repo_id long, source string, target string, type string, edge_ord long", *made)
+    nodes = frame(spark, "repo_id long, id string, node_ord long", *[(repo, f"n{i}", (i * 5) % 14) for repo in (1, 2, 3) for i in range(14)])
+    pairs = frame(spark, "repo_id long, start string, end string", *[(repo, f"n{a}", f"n{b}") for repo in (1, 2) for a in range(3) for b in range(14)])
+    small = rows(G.shortest_paths(edges, pairs), "repo_id", "start", "end", "path", "hops"), rows(G.dependency_rank(nodes, edges), "repo_id", "id", "rank", "settled")
+    monkeypatch.setattr(G, "TASK_ROWS", 0)
+    large = rows(G.shortest_paths(edges, pairs), "repo_id", "start", "end", "path", "hops"), rows(G.dependency_rank(nodes, edges), "repo_id", "id", "rank", "settled")
+    assert small == large and len(small[0]) > 40 and len(small[1]) == 42
+
+
+def test_ranks_of_long_chains_and_cycles(spark):
+    n = 1000
+    chain = [(1, f"n{i:04}", f"n{i + 1:04}", "imports", i) for i in range(n - 1)]
+    ring = [(2, f"n{i:04}", f"n{(i + 1) % n:04}", "imports", i) for i in range(n)]
+    edges = frame(spark, "repo_id long, source string, target string, type string, edge_ord long", *chain, *ring)
+    nodes = frame(spark, "repo_id long, id string", *[(repo, f"n{i:04}") for repo in (1, 2) for i in range(n)])
+    got = {(x.repo_id, x.id): x.rank for x in G.dependency_rank(nodes, edges).collect()}
+    assert all(got[1, f"n{i:04}"] == i for i in range(n))
+    # The ring is opened at its first node, which keeps the rank that its last one gives it.
+    assert all(got[2, f"n{i:04}"] == (i or n) for i in range(n))
+
+
 def test_long_shortest_path(spark, rows):
     chain = [(1, f"n{i}", f"n{i + 1}", "imports", 1.0, i) for i in range(70)]
     edges = frame(spark, "repo_id long, source string, target string, type string, weight double, edge_ord long", *chain)
