@@ -39,12 +39,15 @@ def fingerprints(files: DataFrame, decls: dict[str, DataFrame], has_structure: C
     spec = F.concat_ws(":", "source", F.array_join(F.sort_array(F.coalesce("specifiers", none)), ","))
 
     def rows(df: DataFrame, f: Column | None = None, c: Column | None = None, i: Column | None = None, e: Column | None = None) -> DataFrame:
-        null = F.lit(None)
+        def placed(value: Column | None, kind: str) -> Column:
+            if value is None:
+                return F.lit(None).cast(f"struct<seq:int,v:{kind[6:-1]}>")
+            return F.struct(F.col("decl_seq").cast("int").alias("seq"), value.alias("v"))
+
+        null = F.lit(None).cast("string")
         return df.select(
-            K, "path",
-            F.when(F.lit(f is not None), F.struct(F.col("decl_seq").cast("int").alias("seq"), (f if f is not None else null.cast(FUNCTION[6:-1])).alias("v"))).alias("_f"),
-            F.when(F.lit(c is not None), F.struct(F.col("decl_seq").cast("int").alias("seq"), (c if c is not None else null.cast(CLASS[6:-1])).alias("v"))).alias("_c"),
-            (i if i is not None else null.cast("string")).alias("_i"), (e if e is not None else null.cast("string")).alias("_e"))
+            K, "path", placed(f, FUNCTION).alias("_f"), placed(c, CLASS).alias("_c"), (i if i is not None else null).alias("_i"),
+            (e if e is not None else null).alias("_e"))
 
     stacked = reduce(DataFrame.unionByName, [
         rows(exported(decls["functions"]), f=fn), rows(exported(decls["classes"]), c=cl),

@@ -21,8 +21,11 @@ EDGE = ["repo_id", "source", "target", "type", "direction", "description", "weig
 
 
 def _code_graph(src: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
-    decls = X.extract(src.select(K, "path", "language", "content"))
-    config = C.config_files(src)
+    return graph_of(X.extract(src.select(K, "path", "language", "content")), files, C.config_files(src))
+
+
+def graph_of(decls: dict[str, DataFrame], files: DataFrame, config: DataFrame) -> dict[str, DataFrame]:
+    """The graph of code from declarations, the file table and the configuration files; needs no other source text."""
     resolved = cut(R.resolve_all(decls["imports"], files, config))
     imports = R.file_imports(resolved)
     file_nodes = cut(B.file_nodes(files, decls))

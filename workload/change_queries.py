@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodemap.operators import changes as C
+from lodemap.plans import incremental as I
 from workload.views import duck, query, view
 
 
@@ -129,7 +130,28 @@ S_CARRY = """select c_custkey % 5 as repo_id, 'c' || c_custkey as id, case when
  when c_custkey % 4 = 0 then c_name else 'Not yet analyzed.' end as summary,
  't' || case when c_custkey % 4 = 0 then ',o' else '' end || case when c_custkey % 2 = 0 and c_custkey % 3 = 1 then ',j' else '' end as tags from customer"""
 
+# --- a maintained analysis: a hundredth of the files each is changed, noted, deleted and added -------
+
+SOURCE_AT = "select repo_id, path, content, cast(regexp_extract(path, '/p([0-9]+)', 1) as bigint) % 100 as k from v_source"
+SOURCE_OLD = f"select repo_id, path, content from ({SOURCE_AT}) s where k <> 21"
+SOURCE_NEW = f"""select repo_id, path, case k when 7 then content || 'export function extra(q) {{' || chr(10) || '}}' || chr(10)
+  when 33 then content || '// a note' || chr(10) else content end as content from ({SOURCE_AT}) s where k <> 13"""
+
+
+def q_incremental(spark, sf):
+    state = I.update_state(I.full_state(query(spark, sf, SOURCE_OLD)), query(spark, sf, SOURCE_NEW))
+    names = state["functions"].groupBy("repo_id", "path").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("functions"))
+    parsed = state["parsed"].withColumn("parsed", F.lit(True))
+    return state["diff"].join(names, ["repo_id", "path"], "left").join(parsed, ["repo_id", "path"], "left").select(
+        "repo_id", "path", "state", "functions", F.coalesce("parsed", F.lit(False)).alias("parsed"))
+
+
+S_INCREMENTAL = duck(f"""with s as ({SOURCE_AT}) select repo_id, path,
+ case k when 7 then 'structural' when 33 then 'cosmetic' when 13 then 'deleted' when 21 then 'added' else 'unchanged' end as state,
+ case when k <> 13 then case when k = 7 then 'extra,' else '' end || 'f' || regexp_extract(path, '/p([0-9]+)', 1) end as functions, k in (7, 21, 33) as parsed from s""")
+
 QUERIES = {
+    "incremental_update": (q_incremental, S_INCREMENTAL),
     "snapshot_diff": (diff, duck(f"with {DIFF} select * from d")),
     "changed_files": (q_changed, duck(f"with {DIFF} select repo_id, path from d where state in ('structural', 'added')")),
     "update_kind": (q_kind, S_KIND),
