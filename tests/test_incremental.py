@@ -3,6 +3,7 @@
 import uuid
 
 from lodemap.operators import extract as X
+from lodemap.operators import resolve as R
 from lodemap.plans import incremental as I
 
 OLD = {
@@ -31,10 +32,11 @@ def test_update_equals_full_run(spark, rows, tmp_path, monkeypatch):
     state = I.update_state(I.load_state(spark, folder), new)
     assert {(r.repo_id, r.path) for r in lexed} == {(repo, p) for repo in (1, 2) for p in ("src/b.ts", "src/d.ts", "lib/e.py", "docs/new.md")} | {(3, "null.ts")}
     whole = I.full_state(new)
-    for name in ("fingerprints", "functions", "imports", "sections"):
+    for name in ("fingerprints", "functions"):
         assert rows(state[name], *whole[name].columns) == rows(whole[name], *whole[name].columns), name
     # An import of an unchanged file meets the file that is new.
-    met = [(r.source, r.target) for r in I.state_graph(state, new)["imports"].filter("repo_id = 1").selectExpr("path as source", "target_path as target").collect()]
+    config = spark.createDataFrame([], "repo_id long, path string, content string")
+    met = [(r.path, r.target) for r in R.resolve_all(state["imports"], state["files"], config).filter("repo_id = 1").collect()]
     assert ("src/c.ts", "src/d.ts") in met
     diff = dict(((r, p), s) for r, p, s in rows(state["diff"], "repo_id", "path", "state"))
     assert [diff[1, p] for p in ("src/a.ts", "src/b.ts", "lib/e.py", "src/d.ts", "gone.ts")] == ["unchanged", "structural", "cosmetic", "added", "deleted"]
