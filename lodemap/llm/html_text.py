@@ -14,8 +14,8 @@ from lodemap.llm.common import arrow_map, batch, table
 
 #: Elements whose text is never part of an article.
 DROPPED = {
-    "nav", "footer", "aside", "form", "script", "style", "noscript", "template", "head", "title", "svg", "iframe", "button", "select", "option",
-    "textarea", "label", "dialog", "menu", "object", "canvas", "audio", "video", "map", "datalist", "fieldset", "legend", "search",
+    "nav", "footer", "aside", "script", "style", "noscript", "template", "head", "title", "svg", "iframe", "button", "select", "option",
+    "textarea", "label", "dialog", "menu", "object", "canvas", "audio", "video", "map", "datalist", "legend", "search",
 }
 #: Elements without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -23,7 +23,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCKS = {
     "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4",
     "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead",
-    "tr", "ul", "br",
+    "tr", "ul", "br", "form", "fieldset",
 } | DROPPED
 #: Elements that may enclose an article.
 CONTAINERS = {"article", "main", "section", "div", "body", "html", "td", "center"}
@@ -34,7 +34,9 @@ _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _IN_HEAD = {"html", "head", "title", "base", "basefont", "bgsound", "link", "meta", "style", "script", "noscript", "noframes", "template"}
 #: Elements of a head whose contents don't end it.
 _HEAD_HOLDS = {"title", "style", "script", "noscript", "noframes", "template"}
-#: A word of a class, id or role that marks boilerplate.
+#: Elements whose text is boilerplate unless they hold the article.
+SUSPECT = {"form", "fieldset"}
+#: Words of a class, id or role that mark boilerplate.
 BOILERPLATE = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie",
     "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "alertdialog", "popup", "modal", "overlay", "sidebar", "aside", "side",
@@ -43,42 +45,58 @@ BOILERPLATE = {
     "subscribe", "subscription", "newsletter", "signup", "login", "search", "form", "widget", "widgets", "toc", "contentinfo", "complementary",
     "skip", "disclaimer",
 }
+#: Words that say where or of what kind such an element is. Any other word beside a mark makes it doubtful ("has-sidebar", "market-share").
+PLACES = {
+    "site", "page", "main", "left", "right", "top", "bottom", "container", "wrapper", "wrap", "box", "list", "section", "area", "block", "inner", "outer", "bar",
+    "link", "links", "item", "items", "global", "primary", "secondary", "user", "users", "reader", "readers", "title", "row", "text", "message", "policy", "unit", "slot",
+    "panel", "module", "group", "buttons", "button", "icons", "media", "posts", "articles", "stories", "thread", "legal", "to", "us", "you", "also", "content",
+}
 _WORD = re.compile(r"[a-z]+")
 #: A tag that the page's end cuts off: no text.
 _CUT_TAG = re.compile(r"<[/!?]?[A-Za-z][^>]*\Z")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(
+        name == "hidden" or (name == "aria-hidden" and (value or "").lower() == "true") or (name == "style" and value and _HIDDEN.search(value.lower()))
+        for name, value in attrs
+    )
+
+
+def _mark(attrs: list[tuple[str, str | None]]) -> int:
+    """2 for an element that names boilerplate, 1 where the name has other words beside it, else 0."""
+    mark = 0
     for name, value in attrs:
-        if name in ("class", "id", "role"):
-            if value and not BOILERPLATE.isdisjoint(_WORD.findall(value.lower())):
-                return True
-        elif name == "hidden" or (name == "aria-hidden" and (value or "").lower() == "true"):
-            return True
-        elif name == "style" and value and _HIDDEN.search(value.lower()):
-            return True
-    return False
+        if name in ("class", "id", "role") and value:
+            for token in value.lower().split():
+                words = _WORD.findall(token)
+                if not BOILERPLATE.isdisjoint(words):
+                    mark = max(mark, 2 if all(w in BOILERPLATE or w in PLACES for w in words) else 1)
+    return mark
 
 
 class Lines(HTMLParser):
-    """Streams parser events into lines: (text, tags met in it, number of the innermost open container, -1 outside)."""
+    """Streams parser events into lines: (text, tags met in it, number of the innermost open container, of the innermost open
+    suspect; -1 outside)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
-        self.open: list[tuple[str, bool]] = []  # (tag, begins dropped content)
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.open: list[tuple[str, bool, bool]] = []  # (tag, begins dropped content, is a suspect)
         self.count: Counter[str] = Counter()  # open elements by tag
         self.dropped = 0
         self.containers: list[int] = []  # numbers of the open ones
         self.kinds: list[tuple[str, int]] = []  # of each container: tag, number of the one around it
+        self.suspects: list[int] = []  # numbers of the open ones
+        self.marks: list[tuple[int, int, bool]] = []  # of each suspect: mark, number of the one around it, whether within an article or main
         self.words: list[str] = []
         self.tags = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.words).split()) if self.words else ""
         if text:
-            self.lines.append((text, self.tags, self.containers[-1] if self.containers else -1))
+            self.lines.append((text, self.tags, self.containers[-1] if self.containers else -1, self.suspects[-1] if self.suspects else -1))
             self.tags = 0
         self.words = []
 
@@ -90,16 +108,22 @@ class Lines(HTMLParser):
             self._close("head", inside={"template"} if tag == "body" else _HEAD_HOLDS)
         if tag in VOID:
             return
-        if tag in _ENDS_P and any(t == "p" for t, _ in self.open[-4:]):
+        if tag in _ENDS_P and self.count["p"]:
             self._close("p", inside=CONTAINERS)
         for other in _SAME.get(tag, ()):
             self._close(other, inside={"ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select", "tr"} - {other} if tag != "tr" else {"table", "tbody", "thead", "tfoot"})
-        drops = tag in DROPPED or _marked(attrs) and tag not in ("html", "body", "article", "main")
-        if tag == "header" and not (self.count["article"] or self.count["main"]):
+        drops = tag in DROPPED or _hidden(attrs) and tag not in ("html", "body", "article", "main")
+        named = bool(self.count["article"] or self.count["main"])
+        if tag == "header" and not named:
             drops = True
-        self.open.append((tag, drops))
+        mark = 0 if tag in ("html", "body", "article", "main") else 2 if tag in SUSPECT else _mark(attrs)
+        self.open.append((tag, drops, mark > 0))
         self.count[tag] += 1
         self.dropped += drops
+        if mark:
+            self.end_line()
+            self.marks.append((mark, self.suspects[-1] if self.suspects else -1, named))
+            self.suspects.append(len(self.marks) - 1)
         if tag in CONTAINERS:
             self.kinds.append((tag, self.containers[-1] if self.containers else -1))
             self.containers.append(len(self.kinds) - 1)
@@ -109,9 +133,12 @@ class Lines(HTMLParser):
         for i in range(len(self.open) - 1, -1, -1) if self.count[tag] else ():
             name = self.open[i][0]
             if name == tag:
-                for t, drops in self.open[i:]:
+                for t, drops, suspect in self.open[i:]:
                     self.dropped -= drops
                     self.count[t] -= 1
+                    if suspect:
+                        self.end_line()
+                        self.suspects.pop()
                     if t in CONTAINERS:
                         self.containers.pop()
                 del self.open[i:]
@@ -174,33 +201,73 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     parser.feed(html[:last] if last >= 0 and _CUT_TAG.match(html, last) else html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines = _kept_lines(parser)
     if not lines:
         return ""
     ratios = smooth(np.array([len(t) / max(1, n) for t, n, _ in lines], float), sigma)
-    chosen = content_lines(ratios)
-    own = np.zeros(len(parser.kinds) + 1, np.int64)  # the last: outside of all containers
-    for (text, _, around), is_content in zip(lines, chosen.tolist(), strict=True):
-        own[around] += len(text) * is_content
+    chosen = content_lines(ratios).tolist()
+    kinds = parser.kinds
+    own, text = np.zeros(len(kinds) + 1, np.int64), np.zeros(len(kinds) + 1, np.int64)  # the last: outside of all containers
+    for (line, _, around), is_content in zip(lines, chosen, strict=True):
+        own[around] += len(line) * is_content
+        text[around] += len(line)
     need = own.sum()
     held = own.copy()
-    for c in range(len(parser.kinds) - 1, -1, -1):  # a container's number is over that of the one around it
-        held[parser.kinds[c][1]] += held[c]
-    good = [c for c in range(len(parser.kinds)) if held[c] >= need]
+    for c in range(len(kinds) - 1, -1, -1):  # a container's number is over that of the one around it
+        held[kinds[c][1]] += held[c]
+    good = [c for c in range(len(kinds)) if held[c] >= need]
     # An article or main element beats a plain container within or around it.
-    named = [c for c in good if parser.kinds[c][0] in ("article", "main")]
+    named = [c for c in good if kinds[c][0] in ("article", "main")]
     regions = {max(named or good, default=-1)}
-    if not named:  # sibling articles may hold the content together
-        articles = {c for c, (tag, _) in enumerate(parser.kinds) if tag == "article"}
-        within = _inside(parser.kinds, articles)
-        if articles and own[within].sum() >= need:
-            regions = articles
+    articles = {c for c, (tag, _) in enumerate(kinds) if tag == "article"}
+    if not named:
+        elements = {c for c, (tag, _) in enumerate(kinds) if tag in ("article", "main")}
+        within = _inside(kinds, elements)
+        if text[within].sum() and not own[within].sum():
+            regions = elements  # longer lines elsewhere on the page don't outdo what it calls its article
+        else:  # sibling articles may hold the content together
+            within = _inside(kinds, articles)
+            if articles and own[within].sum() >= need:
+                regions = articles
+    elif kinds[next(iter(regions))][0] == "article":
+        # Shorter articles beside it belong to it.
+        regions |= {c for c in articles if any(kinds[c][1] == kinds[r][1] for r in regions)}
     if regions == {-1}:
         return " ".join(t for t, _, _ in lines)
-    within = _inside(parser.kinds, regions)
+    within = _inside(kinds, regions)
     return " ".join(t for t, _, around in lines if within[around])
 
 
+def _kept_lines(parser: Lines) -> list[tuple[str, int, int]]:
+    """Lines without those of suspects that are boilerplate.
+
+    A suspect is none if it holds half of all text in article and main elements, or, on a page without such, nearly all of its
+    text (half of it where its name is doubtful). Within an article a doubtful name means nothing.
+    """
+    marks = parser.marks
+    if not marks:
+        return [line[:3] for line in parser.lines]
+    named = _inside(parser.kinds, {c for c, (tag, _) in enumerate(parser.kinds) if tag in ("article", "main")})
+    held, held_named = np.zeros(len(marks) + 1, np.int64), np.zeros(len(marks) + 1, np.int64)
+    for text, _, around, suspect in parser.lines:
+        held[suspect] += len(text)
+        held_named[suspect] += len(text) * named[around]
+    for s in range(len(marks) - 1, -1, -1):
+        held[marks[s][1]] += held[s]
+        held_named[marks[s][1]] += held_named[s]
+    total, total_named = held[-1], held_named[-1]
+    gone = np.zeros(len(marks) + 1, bool)
+    for s, (mark, around, in_named) in enumerate(marks):
+        if in_named:
+            boilerplate = mark == 2
+        elif total_named:
+            boilerplate = 2 * held_named[s] < total_named
+        else:
+            boilerplate = held[s] < (0.9 if mark == 2 else 0.5) * total
+        gone[s] = boilerplate or gone[around]
+    return [line[:3] for line in parser.lines if not gone[line[3]]]
+
+
 def _inside(kinds: list[tuple[str, int]], regions: set[int]) -> np.ndarray:
     """Per container, and at the end for what is outside of all: whether it is one of ``regions`` or within one."""
     found = np.zeros(len(kinds) + 1, bool)

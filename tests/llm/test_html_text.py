@@ -76,3 +76,34 @@ def test_articles_of_the_tables(spark):
     for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
         inner = re.sub(r"<[^>]+>", "\0", re.sub(r"</?b>", "", re.search(r"<article>(.*)</article>", r.html, re.S)[1]))
         assert main_text(r.html) == " ".join(x for x in (" ".join(html.unescape(b).split()) for b in inner.split("\0")) if x)
+
+
+PROSE = "".join(f"<p>{' '.join(f'word{i}x{j}' for j in range(40))}.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("start, end", [
+    ('<div class="content has-sidebar">', "</div>"), ('<div class="page with-header">', "</div>"), ('<div id="comment-free-zone">', "</div>"), ('<section class="side-by-side">', "</section>"),
+    ("<form action=x>", "</form>"), ('<div class="sidebar"><main>', "</main></div>"), ('<form><fieldset><div class="page with-header"><article>', "</article></div></fieldset></form>"),
+])
+def test_wrappers_with_words_of_boilerplate(start, end):
+    plain = " ".join(re.sub("<[^>]+>", " ", PROSE).split())
+    page = "<html><body><nav>menu</nav>{}{}<div class='cookie-notice'>We use cookies here.</div>{}<div id=comments><p>A reader's comment.</p></div><footer>foot</footer></body></html>"
+    assert main_text(page.format(start, PROSE, end)) == plain
+    inner = '<div class="share">Tell your friends</div>'
+    assert main_text(page.format(start, PROSE.replace("</p><p>", f"</p>{inner}<p>", 1), end)) == plain
+
+
+def test_articles_beside_longer_text():
+    para = lambda n, w: f"<p>{' '.join([w] * n)}.</p>"
+    page = f"<body><main>{para(60, 'story') * 5}</main><div>{para(160, 'law') * 2}</div></body>"
+    assert set(main_text(page).replace(".", "").split()) == {"story"}
+    page = f"<body><main><article>{PROSE}</article><article><p>Short one.</p></article></main></body>"
+    assert main_text(page).endswith("Short one.")
+    inside = f'<article>{PROSE}<div class="market-share-table"><p>Ten percent of the market.</p></div><p id="search-algorithms">How search works.</p></article>'
+    assert main_text(inside).endswith("Ten percent of the market. How search works.")
+
+
+def test_open_paragraphs_of_any_depth():
+    for n in (1, 3, 4, 9, 50):
+        page = f"<p class=notice>{'<i>' * n}We use cookies.<article>{PROSE}</article>"
+        assert main_text(page) == " ".join(re.sub("<[^>]+>", " ", PROSE).split()), n
