@@ -205,14 +205,65 @@ def ancestors(commits: DataFrame, starts: DataFrame) -> DataFrame:
             return reached
 
 
+def folder_trees(files: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """Hash trees of ``files`` (repo_id, path, content_hash and the columns ``by`` that name a snapshot).
+
+    Returns ``entries(repo_id, tree, name, is_tree, child)``, one row per distinct folder and name in it, and
+    ``roots(repo_id, *by, tree)``. A folder's hash is a sum over its entries, made on the map side, so folders of any size
+    are fine and equal folders of all snapshots are stored once. One round per level of folders, deepest first.
+    """
+    group = [K, *by]
+    parts = F.split("path", "/")
+    level = cut(files.select(*group, F.slice(parts, 1, F.size(parts) - 1).alias("_at"), F.element_at(parts, -1).alias("name"),
+                             F.lit(False).alias("is_tree"), F.coalesce("content_hash", F.lit("")).alias("child")).withColumn("_depth", F.size("_at")))
+    deepest = level.agg(F.max("_depth")).first()[0]
+    entries, roots = [], level.select(*group, F.lit("").alias("tree")).limit(0)
+    word = lambda seed: F.sum(F.xxhash64(F.lit(seed), "name", "is_tree", "child").cast("decimal(38,0)"))
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        here = level.filter(F.col("_depth") == depth)
+        trees = here.groupBy(*group, "_at").agg(word(1).alias("_1"), word(2).alias("_2"), F.count("*").alias("_n"))
+        trees = cut(trees.select(*group, "_at", F.sha2(F.concat_ws(":", "_1", "_2", "_n"), 256).alias("tree")))
+        entries.append(here.join(trees, [*group, "_at"]).select(K, "tree", "name", "is_tree", "child").distinct())
+        if depth == 0:
+            roots = trees.select(*group, "tree")
+        else:
+            up = trees.select(*group, F.slice("_at", 1, depth - 1).alias("_at"), F.element_at("_at", -1).alias("name"), F.lit(True).alias("is_tree"),
+                              F.col("tree").alias("child"), F.lit(depth - 1).alias("_depth"))
+            level = cut(level.filter(F.col("_depth") < depth).unionByName(up))
+    if not entries:
+        return level.select(K, F.lit("").alias("tree"), "name", "is_tree", "child").limit(0), roots
+    return cut(reduce(DataFrame.unionByName, entries).distinct()), roots
+
+
+def tree_changes(entries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Files in which the trees of ``pairs(repo_id, old, new)`` differ: (repo_id, path, state), state added, deleted or changed.
+
+    Folders with one hash are never opened: each round compares the entries of those folders that differ one level up. A
+    missing tree (null) has no files. A name that is a folder on one side and a file on the other is deleted and added.
+    """
+    todo = cut(pairs.filter(~F.col("old").eqNullSafe(F.col("new"))).select(K, F.lit("").alias("_at"), "old", "new"))
+    found = todo.select(K, F.lit("").alias("path"), F.lit("").alias("state")).limit(0)
+    both = [K, "_at", "name", "is_tree"]
+    while not todo.isEmpty():
+        side = lambda c: todo.select(K, "_at", F.col(c).alias("tree")).join(entries, [K, "tree"]).select(*both, F.col("child").alias(c))  # noqa: B023, E731
+        met = cut(side("old").join(side("new"), both, "full").filter(~F.col("old").eqNullSafe(F.col("new"))).withColumn("_path", F.concat("_at", "name")))
+        state = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").otherwise("changed")
+        found = found.unionByName(met.filter("NOT is_tree").select(K, F.col("_path").alias("path"), state.alias("state")))
+        todo = met.filter("is_tree").select(K, F.concat("_path", F.lit("/")).alias("_at"), "old", "new")
+    return found
+
+
 # --- fixed values: severities of freshness states --------------------------------------------
 SEVERITY = {"fresh": 0, "unknown": 1, "dirty": 2, "stale": 3}
 
 
 def freshness(builds: DataFrame, heads: DataFrame, commits: DataFrame, commit_files: DataFrame, working: DataFrame,
-              own_dirs: list[str] | None = None) -> DataFrame:
+              own_dirs: list[str] | None = None, trees: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """State of each built graph against its repository.
 
+    ``trees`` are the hash trees of the commits (:func:`folder_trees` by ``commit_id``): with them changed files are those in
+    which the two commits' trees differ, so a change and its revert leave a graph fresh.
+
     ``builds(repo_id, commit)`` and ``heads(repo_id, commit)`` name the graph's and the current commit; ``working``
     holds uncommitted paths. Missing rows give the unknown reasons. Only commits that touch files outside the
     analyzer's own folder count; changed files are those of the commits that just one side has.
@@ -244,6 +295,11 @@ def freshness(builds: DataFrame, heads: DataFrame, commits: DataFrame, commit_fi
         sides.select(K, F.col("commit_id").alias("head"), F.col("in_graph").alias("_head_below")), [K, "head"], "left").select(
         K, "_graph_below", "_head_below")
     committed = differing.select(K, "path").distinct()
+    if trees is not None:
+        entries, roots = trees
+        root = lambda c: roots.select(K, F.col("commit_id").alias(c), F.col("tree").alias("old" if c == "graph_commit" else "new"))
+        pairs = moved.select(K, "graph_commit", "head").join(root("graph_commit"), [K, "graph_commit"], "left").join(root("head"), [K, "head"], "left")
+        committed = tree_changes(entries, pairs).filter(outside).select(K, "path")
     dirty = working.filter(outside).select(K, "path").distinct()
     n_committed = committed.groupBy(K).agg(F.count("*").alias("_nc"))
     n_dirty = dirty.groupBy(K).agg(F.count("*").alias("_nd"))

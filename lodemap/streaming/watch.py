@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,12 +54,13 @@ def debounce(events: DataFrame, gap: str = QUIET, watermark: str = "10 minutes")
 def rebuild_gate(batch: DataFrame, baseline: DataFrame, current: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """Repositories of ``batch`` that need a rebuild: (repo_id, rebuild).
 
-    ``baseline`` and ``current`` hold (repo_id, path, content_hash). Without a baseline a rebuild is due; else only
-    structural, added or deleted files count.
+    ``baseline`` and ``current`` hold (repo_id, path, content_hash); a row without a path tells of a repository that has no
+    files. Without a baseline a rebuild is due; else only structural, added or deleted files count.
     """
     repos = batch.select(K).distinct()
-    old, new = baseline.join(repos, K, "left_semi"), current.join(repos, K, "left_semi")
-    moved = snapshot_diff(old, new, classes).filter(F.col("state").isin("structural", "added", "deleted")).select(K).distinct()
+    old, new = baseline.join(repos, K, "left_semi"), current.join(repos, K, "left_semi").filter("path IS NOT NULL")
+    diff = snapshot_diff(old.filter("path IS NOT NULL"), new, classes)
+    moved = diff.filter(F.col("state").isin("structural", "added", "deleted")).select(K).distinct()
     return (
         repos.join(old.select(K).distinct().withColumn("_base", F.lit(True)), K, "left")
         .join(moved.withColumn("_moved", F.lit(True)), K, "left")
@@ -70,12 +72,12 @@ def gate_sink(current: Callable[[SparkSession], DataFrame], store: str) -> Calla
     """``foreachBatch`` function: decide per repository and record the decision with the new fingerprints.
 
     Each batch writes its own folder, overwritten on retry, so a batch that runs twice leaves one result. The baseline
-    is the latest earlier batch per repository.
+    is the latest earlier batch per repository; one without files writes a row without a path, so that it is known as empty.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         repos = batch.select(K).distinct()
-        now = current(spark).join(repos, K, "left_semi").select(K, "path", "content_hash")
+        now = repos.join(current(spark).select(K, "path", "content_hash"), K, "left")
         baseline = latest_fingerprints(spark, store, batch_id)
         if baseline is None:
             baseline = now.limit(0)
@@ -86,16 +88,15 @@ def gate_sink(current: Callable[[SparkSession], DataFrame], store: str) -> Calla
     return run
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def latest_fingerprints(spark: SparkSession, store: str, before: int | None = None) -> DataFrame | None:
-    """Fingerprints of each repository's latest batch, optionally only of batches before one."""
-    if not _exists(spark, f"{store}/fingerprints"):
-        return None
-    kept = spark.read.parquet(f"{store}/fingerprints")
+    """Fingerprints of each repository's latest batch, optionally only of batches before one; without a path where it had no
+    files. None if there is no store yet."""
+    try:
+        kept = spark.read.parquet(f"{store}/fingerprints")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     if before is not None:
         kept = kept.filter(F.col("batch") < before)
     last = kept.groupBy(K).agg(F.max("batch").alias("batch"))

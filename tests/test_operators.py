@@ -136,6 +136,29 @@ def test_ancestors_through_many_merges(spark):
     assert got == {1: 401, 2: 25, 3: 1}
 
 
+def test_freshness_by_trees_sees_net_changes(spark, rows):
+    """A change and its revert leave the graph fresh; a moved folder, a file that becomes a folder and own folders are told apart."""
+    files = {
+        1: {"c0": {"src/a.ts": "1", "src/deep/b.ts": "1", "x": "1"}, "c1": {"src/a.ts": "2", "src/deep/b.ts": "1", "x": "1"}, "c2": {"src/a.ts": "1", "src/deep/b.ts": "1", "x": "1"}},
+        2: {"c0": {"src/a.ts": "1", "lib/z": "9", ".ua/g.json": "1"}, "c1": {"src/a.ts/in": "1", "lib/z": "9", ".ua/g.json": "2"}, "c2": {"src/a.ts/in": "1", "old/z": "9", ".ua/g.json": "3"}},
+    }
+    snapshots = frame(spark, "repo_id long, commit_id string, path string, content_hash string", *[(r, c, p, h) for r, cs in files.items() for c, fs in cs.items() for p, h in fs.items()])
+    commits = frame(spark, "repo_id long, commit_id string, parent_id string", *[(r, f"c{i}", f"c{i - 1}" if i else None) for r in (1, 2) for i in range(3)])
+    touched = frame(spark, "repo_id long, commit_id string, path string", (1, "c1", "src/a.ts"), (1, "c2", "src/a.ts"), (2, "c1", "src/a.ts/in"), (2, "c2", "old/z"))
+    builds = frame(spark, "repo_id long, commit string", (1, "c0"), (2, "c0"))
+    heads = frame(spark, "repo_id long, commit string", (1, "c2"), (2, "c2"))
+    nothing = frame(spark, "repo_id long, path string").limit(0)
+    trees = C.folder_trees(snapshots, "commit_id")
+    got = C.freshness(builds, heads, commits, touched, nothing, trees=trees)
+    assert rows(got, "repo_id", "status", "n_changed_files") == [(1, "fresh", 0), (2, "stale", 4)]
+    assert [r.status for r in C.freshness(builds, heads, commits, touched, nothing).orderBy("repo_id").collect()] == ["stale", "stale"]
+    pairs = trees[1].groupBy("repo_id").agg(F.max(F.when(F.col("commit_id") == "c0", F.col("tree"))).alias("old"), F.max(F.when(F.col("commit_id") == "c2", F.col("tree"))).alias("new"))
+    assert rows(C.tree_changes(trees[0], pairs).filter("path NOT LIKE '.ua%'"), "repo_id", "path", "state") == [
+        (2, "lib/z", "deleted"), (2, "old/z", "added"), (2, "src/a.ts", "deleted"), (2, "src/a.ts/in", "added")]
+    none = C.folder_trees(snapshots.limit(0), "commit_id")
+    assert none[0].count() == none[1].count() == 0
+
+
 def test_search_scores(spark, rows):
     nodes = frame(spark, "repo_id long, id string, name string, summary string, tags array<string>, type string",
                   (1, "1", "graph-builder", "", [], "file"), (1, "2", "other", "A graph of things", [], "file"), (1, "3", "x", "Not yet analyzed.", ["graph"], "class"))

@@ -48,6 +48,22 @@ def test_gate_sink_is_idempotent(spark, rows, tmp_path):
     assert rows(W.latest_fingerprints(spark, store), "repo_id", "content_hash") == [(1, "h2"), (2, "same")]
 
 
+def test_emptied_repository_settles(spark, rows, tmp_path):
+    store = str(tmp_path / "store")
+    files = {"now": [(1, "a.ts", "h"), (2, "b.ts", "h")]}
+    run = W.gate_sink(lambda s: s.createDataFrame(files["now"], "repo_id long, path string, content_hash string"), store)
+    both = spark.createDataFrame([(1,), (2,)], "repo_id long")
+    run(both, 0)
+    files["now"] = [(2, "b.ts", "h")]
+    run(both, 1)
+    run(both, 2)
+    files["now"] = [(1, "a.ts", "h"), (2, "b.ts", "h")]
+    run(both, 3)
+    run(both, 3)
+    decisions = spark.read.parquet(f"{store}/decisions").filter("repo_id = 1")
+    assert rows(decisions, "batch", "rebuild") == [(0, True), (1, True), (2, False), (3, True)]
+
+
 def test_journal_keeps_latest(spark, rows, tmp_path):
     sink = W.journal_sink(str(tmp_path / "j"))
     sink(spark.createDataFrame([(1, "a", "old"), (1, "b", "b")], "repo_id long, node_id string, summary string"), 0)

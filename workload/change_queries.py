@@ -150,7 +150,15 @@ S_INCREMENTAL = duck(f"""with s as ({SOURCE_AT}) select repo_id, path,
  case k when 7 then 'structural' when 33 then 'cosmetic' when 13 then 'deleted' when 21 then 'added' else 'unchanged' end as state,
  case when k <> 13 then case when k = 7 then 'extra,' else '' end || 'f' || regexp_extract(path, '/p([0-9]+)', 1) end as functions, k in (7, 21, 33) as parsed from s""")
 
+def q_trees(spark, sf):
+    both = snap(spark, sf, "v_snap_old").withColumn("side", F.lit("old")).unionByName(snap(spark, sf, "v_snap_new").withColumn("side", F.lit("new")))
+    entries, roots = C.folder_trees(both.select("repo_id", "path", "content_hash", "side"), "side")
+    pairs = roots.groupBy("repo_id").agg(F.max(F.when(F.col("side") == "old", F.col("tree"))).alias("old"), F.max(F.when(F.col("side") == "new", F.col("tree"))).alias("new"))
+    return C.tree_changes(entries, pairs)
+
+
 QUERIES = {
+    "tree_changes": (q_trees, duck(f"with {DIFF} select repo_id, path, case state when 'structural' then 'changed' else state end as state from d where state <> 'unchanged'")),
     "incremental_update": (q_incremental, S_INCREMENTAL),
     "snapshot_diff": (diff, duck(f"with {DIFF} select * from d")),
     "changed_files": (q_changed, duck(f"with {DIFF} select repo_id, path from d where state in ('structural', 'added')")),
