@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodemap.functions import dims
 from lodemap.functions.text import top_directory
+from lodemap.plans.bounded import TASK_ROWS, TASK_STEPS, split_groups
 from lodemap.plans.cut import cut, first_rows
 
 K = "repo_id"
@@ -174,11 +176,55 @@ def update_kind(diff: DataFrame, graph_sizes: DataFrame) -> DataFrame:
 def ancestors(commits: DataFrame, starts: DataFrame) -> DataFrame:
     """Every commit reachable from each start, itself included: (repo_id, label, commit_id).
 
-    ``commits(repo_id, commit_id, parent_id[, parent_no])`` has one row per parent. Walking one generation per round
-    would need as many rounds as history is deep. Parents of one number form a forest, so each number is walked by
-    doubling: tables of jumps of length 1, 2, 4, ... (each no larger than the commit table) cover a line of n commits in
-    log n steps. A sweep walks every number in turn from what the last sweep found, until nothing is new: there are as many
-    sweeps as a path changes between numbers, without a limit.
+    ``commits(repo_id, commit_id, parent_id[, parent_no])`` has one row per parent. Histories of bounded size are walked in
+    one task each, larger ones over the whole cluster.
+    """
+    starts = cut(starts.select(K, "label", "commit_id").distinct())
+    arcs = commits.filter("parent_id is not null").join(starts.select(K).distinct(), K, "left_semi")
+    n_arcs = F.coalesce("arcs", F.lit(0))
+    sizes = starts.groupBy(K).agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).join(arcs.groupBy(K).agg(F.count("*").alias("arcs")), K, "left")
+    here, others, any_others = split_groups(sizes, K, (F.col("n") + n_arcs <= TASK_ROWS) & (F.col("labels") * n_arcs <= TASK_STEPS))
+    found = _ancestors_in_tasks(arcs.join(here, K, "left_semi"), starts.join(here, K, "left_semi"))
+    if any_others:
+        found = found.unionByName(_ancestors_by_jumps(arcs.join(others, K, "left_semi"), starts.join(others, K, "left_semi")))
+    return found
+
+
+def _ancestors_in_tasks(arcs: DataFrame, starts: DataFrame) -> DataFrame:
+    kinds = {c: starts.schema[c].dataType.simpleString() for c in (K, "label", "commit_id")}
+
+    def run(group: pa.Table) -> pa.Table:
+        parents: dict = {}
+        reached: dict = {}
+        for commit, parent, label in zip(*(group[c].to_pylist() for c in ("commit_id", "parent_id", "label")), strict=True):
+            if parent is not None:
+                parents.setdefault(commit, []).append(parent)
+            else:
+                reached.setdefault(label, set()).add(commit)
+        for seen in reached.values():
+            todo = list(seen)
+            while todo:
+                for parent in parents.get(todo.pop(), ()):
+                    if parent not in seen:
+                        seen.add(parent)
+                        todo.append(parent)
+        rows = [(label, commit) for label, seen in reached.items() for commit in seen]
+        label, commit = zip(*rows, strict=True) if rows else ((), ())
+        return pa.table({
+            K: pa.array([group[K][0].as_py()] * len(rows), group.schema.field(K).type),
+            "label": pa.array(label, group.schema.field("label").type), "commit_id": pa.array(commit, group.schema.field("commit_id").type),
+        })
+
+    none = F.lit(None)
+    rows = arcs.select(K, "commit_id", "parent_id", none.cast(kinds["label"]).alias("label")).unionByName(
+        starts.select(K, "commit_id", none.cast(arcs.schema["parent_id"].dataType).alias("parent_id"), "label"))
+    return rows.groupBy(K).applyInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()))
+
+
+def _ancestors_by_jumps(commits: DataFrame, starts: DataFrame) -> DataFrame:
+    """Walking one generation per round would need as many rounds as history is deep. Parents of one number form a forest, so
+    each number is walked by doubling: tables of jumps of length 1, 2, 4, ... (each no larger than the commit table) cover a
+    line of n commits in log n steps. A sweep walks every number in turn from what the last sweep found, until nothing is new.
     """
     no = F.col("parent_no") if "parent_no" in commits.columns else F.lit(0)
     arcs = cut(commits.filter("parent_id is not null").select(K, "commit_id", F.col("parent_id").alias("to"), no.alias("parent_no")))

@@ -1,9 +1,7 @@
 """Small hand-made cases for what SQL over the driver's tables cannot show."""
 
-import os
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from lodemap.functions import text as T
@@ -126,7 +124,6 @@ def test_long_shortest_path(spark, rows):
     assert rows(G.shortest_paths(edges, pairs), "end", "hops") == [("n70", 70)]
 
 
-@pytest.mark.skipif(not os.environ.get("LONG_TESTS"), reason="many sweeps take minutes; set LONG_TESTS to run them")
 def test_ancestors_through_many_merges(spark):
     nested = [(1, f"m{i}", p, k) for i in range(200) for k, p in enumerate((f"a{i}", f"m{i + 1}"))]
     zigzag = [(2, f"z{i}", p, k) for i in range(12) for k, p in enumerate((f"z{i + 1}", f"y{i}") if i % 2 else (f"y{i}", f"z{i + 1}"))]
@@ -136,6 +133,17 @@ def test_ancestors_through_many_merges(spark):
     assert got == {1: 401, 2: 25, 3: 1}
 
 
+def test_ancestors_are_the_same_in_tasks_and_by_jumps(spark, rows, monkeypatch):
+    r = random.Random(5)
+    made = {(repo, i, p) for repo in (1, 2) for i in range(1, 30) for p in r.sample(range(i), min(i, r.randrange(1, 3)))}
+    numbered = [(repo, c, p, [x for _, d, x in sorted(made) if (d, _) == (c, repo)].index(p)) for repo, c, p in sorted(made)]
+    commits = frame(spark, "repo_id long, commit_id long, parent_id long, parent_no int", *numbered, (1, 0, None, 0), (2, 0, None, 0))
+    starts = frame(spark, "repo_id long, label string, commit_id long", (1, "a", 29), (1, "b", 12), (2, "a", 20), (3, "a", 7))
+    small = rows(C.ancestors(commits, starts), "repo_id", "label", "commit_id")
+    monkeypatch.setattr(C, "TASK_ROWS", 0)
+    assert small == rows(C.ancestors(commits, starts), "repo_id", "label", "commit_id") and len(small) > 15
+
+
 def test_freshness_by_trees_sees_net_changes(spark, rows):
     """A change and its revert leave the graph fresh; a moved folder, a file that becomes a folder and own folders are told apart."""
     files = {
