@@ -18,7 +18,7 @@ HEADLINE = [
     "classify_paths", "ignore_repo_rules", "file_nodes", "layer_members", "resolve_tsjs", "reference_edges", "test_pairs",
     "cap_edges", "tour", "repair_nodes", "repair_edges", "issue_totals", "snapshot_diff", "signature_changes", "freshness",
     "wiki_links", "wiki_citations", "page_links", "rect_query", "close_pairs", "debounce", "extract_packs", "line_metrics",
-    "call_edges", "batches", "parse_responses", "compact_nodes", "analyze", "dependency_rank",
+    "call_edges", "batches", "parse_responses", "compact_nodes", "analyze", "dependency_rank", "tree_changes",
 ]
 
 
