@@ -11,7 +11,7 @@ from workload.views import TABLES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 CHOSEN = [
-    "blast_radius", "links", "search", "shortest_paths", "dependency_rank", "classify_paths", "ignore_filter", "ignore_repo_rules", "layers",
+    "blast_radius", "links", "search", "search_requests", "shortest_paths", "dependency_rank", "classify_paths", "ignore_filter", "ignore_repo_rules", "layers",
     "resolve_tsjs", "test_pairs", "cap_nodes", "repair_nodes", "repair_edges", "document_edges", "update_kind", "signature_changes",
     "freshness", "wiki_links", "wiki_citations", "nearest", "close_pairs", "debounce", "extract_calls", "batches", "parse_responses",
     "domain_edges", "ask_context", "content_digest", "call_edges",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodemap.functions import dims
 from lodemap.operators import graph as G
+from lodemap.operators import search as S
 from workload.views import duck, query, view
 
 
@@ -166,6 +167,31 @@ def _sql_search() -> str:
  as hit_rank from s where score <= 0.4) where hit_rank <= 50""")
 
 
+def q_search_requests(spark, sf):
+    found = view(spark, sf, "v_search_nodes").withColumn("tags", F.split("tag_text", " "))
+    return S.search_requests(found, view(spark, sf, "v_requests"), 50)
+
+
+# Every word against every text; ``walk`` takes a word's letters one by one, each where it comes first.
+S_SEARCH_REQUESTS = duck("""with recursive n as (select repo_id, id, unnest([{'f': 'name', 'scale': 1.0, 't': lower(name)},
+   {'f': 'tags', 'scale': 0.4 / 0.3, 't': lower(tag_text)},
+   {'f': 'summary', 'scale': 2.0, 't': case when lower(summary) <> 'not yet analyzed.' then lower(summary) end},
+   {'f': 'notes', 'scale': 4.0, 't': lower(language_notes)}]) as x from v_search_nodes),
+ words as (select distinct query_id, unnest(string_split_regex(lower(text), '[ \t]+')) as w from v_requests),
+ pairs as (select t.t, w.w from (select distinct x.t as t from n where x.t <> '') t, (select distinct w from words where w <> '') w),
+ walk as (select t, w, 1 as i, strpos(t, w[1]) as pos, 0 as adjacent from pairs where strpos(t, w[1]) > 0 union all
+  select t, w, i + 1, pos + strpos(substr(t, pos + 1), w[i + 1]), adjacent + (case when substr(t, pos + 1, 1) = w[i + 1] then 1 else 0 end)
+  from walk where i < length(w) and strpos(substr(t, pos + 1), w[i + 1]) > 0),
+ scored as (select t, w, case when t = w then 0.0 when starts_with(t, w) then 0.05
+   when strpos(t, w) > 0 then 0.12 + least(0.2, (strpos(t, w) - 1)::double / length(t) * 0.2) + (1 - length(w)::double / greatest(length(w), length(t))) * 0.18
+   when length(w) > 1 then greatest(0.26, 0.40 - adjacent::double / (length(w) - 1) * 0.12 - length(w)::double / length(t) * 0.05) end as s
+  from walk where i = length(w)),
+ asked as (select distinct query_id, t, s from scored join words using (w)),
+ hits as (select n.repo_id, a.query_id, n.id, min(round((a.s * n.x.scale)::double, 6)) as score from n join asked a on a.t = n.x.t group by 1, 2, 3)
+select * from (select *, row_number() over (partition by repo_id, query_id order by score, id) as hit_rank from hits where score <= 0.4)
+ where hit_rank <= 50""")
+
+
 def q_paths(spark, sf):
     ways = view(spark, sf, "v_imports").select("repo_id", F.col("importer").alias("source"),
                                                F.col("target_path").alias("target"), F.lit("imports").alias("type"))
@@ -224,6 +250,7 @@ QUERIES = {
     "summary_counts": (q_summary, S_SUMMARY),
     "category_counts": (q_categories, S_CATEGORIES),
     "search": (q_search, _sql_search()),
+    "search_requests": (q_search_requests, S_SEARCH_REQUESTS),
     "shortest_paths": (q_paths, S_PATHS),
     "dependency_rank": (q_rank, S_RANK),
     "dir_tree": (q_tree, S_TREE),

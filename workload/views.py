@@ -53,6 +53,20 @@ select 'file:n' || cast(c_nationkey as varchar(20)) as source, 'class:c' || cast
  union all select source, target, 'calls' from (select 'function:o' || cast(o_orderkey as varchar(20)) as source,
   'function:o' || cast(lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey)
    as varchar(20)) as target from orders) q where target is not null""",
+    # Nodes with all texts that a search looks at; tags are joined by spaces.
+    "v_search_nodes": """
+select 'class:c' || cast(c_custkey as varchar(20)) as id, n_regionkey as repo_id, c_name as name, c_mktsegment || ' ' || n_name as tag_text,
+  n_name as summary, c_mktsegment || ' of ' || n_name as language_notes from customer join nation on c_nationkey = n_nationkey
+ union all select 'file:p' || cast(p_partkey as varchar(20)), p_partkey % 5, p_name, p_brand || ' ' || p_type,
+  case when p_size % 3 = 0 then 'Not yet analyzed.' else p_name || ' by ' || p_brand end, p_type || ' ' || p_name from part
+ union all select 'function:o' || cast(o_orderkey as varchar(20)), o_custkey % 5, o_orderpriority, 'status ' || o_orderstatus,
+  cast(null as varchar(20)), 'order ' || o_orderpriority from orders""",
+    # A request for each supplier and each part: letters left out, nations, words of names, brands.
+    "v_requests": """
+select 's' || cast(s_suppkey as varchar(20)) as query_id, case s_suppkey % 3 when 0 then 'cmr' || cast(s_suppkey as varchar(20))
+  when 1 then n_name else substr(n_name, 2, 4) || ' urgnt' end as text from supplier join nation on s_nationkey = n_nationkey
+ union all select 'p' || cast(p_partkey as varchar(20)), case p_partkey % 4 when 0 then p_name when 1 then p_brand || '  brnd' when 2 then p_type
+  else substr(p_name, 1, 5) || substr(p_name, 7) end from part""",
     # v_edges with its repository: the owner of an edge is the owner of its source node.
     "v_repo_edges": """
 select n.repo_id, e.source, e.target, e.type from v_edges e join v_nodes n on n.id = e.source""",
