@@ -40,18 +40,6 @@ def _class(letter: Column) -> Column:
     return F.ascii(letter) % CLASSES
 
 
-def _pairs_in_order(text: Column) -> Column:
-    """Keys of single classes and of every two classes of which one occurs somewhere after the other."""
-    classes = F.transform(_letters(text), _class)
-    back = F.reverse(classes)
-    # Where a class is met first and last; one pair of positions per class, so that the product is over classes, not letters.
-    met = F.transform(F.array_distinct(classes), lambda c: F.struct(
-        c.alias("c"), F.array_position(classes, c).alias("first"), (F.size(classes) + 1 - F.array_position(back, c)).alias("last")))
-    pairs = F.flatten(F.transform(met, lambda a: F.transform(
-        F.filter(met, lambda b: a["first"] < b["last"]), lambda b: (a["c"] + 1) * CLASSES + b["c"])))
-    return F.transform(F.concat(F.transform(met, lambda a: a["c"]), pairs), lambda n: n.cast("string"))
-
-
 def _adjacent(text: Column) -> Column:
     """Keys of single letters and of every two that stand side by side."""
     letters = _letters(text)
@@ -63,8 +51,25 @@ def _heads(text: Column) -> Column:
     return F.array_distinct(F.array(*[F.left(text, F.lit(n)) for n in range(1, PREFIX + 1)]))
 
 
-def _keys(field: Column, text: Column) -> Column:
-    return F.when(field.isin("name", "tags"), _pairs_in_order(text)).when(field == "summary", _adjacent(text)).otherwise(_heads(text))
+def _keyed(df: DataFrame, text: str) -> DataFrame:
+    """``df(field, ...)`` with the keys of its column ``text`` in ``keys``.
+
+    Names and tags: single classes, and every two of which one occurs somewhere after the other. Steps are columns of their own, as a
+    lambda would work out again for each letter what it refers to.
+    """
+    ordered = F.col("field").isin("name", "tags")
+    met = F.transform(F.array_distinct("_classes"), lambda c: F.struct(
+        c.alias("c"), F.array_position("_classes", c).alias("first"), (F.size("_classes") + 1 - F.array_position("_back", c)).alias("last")))
+    pairs = F.flatten(F.transform("_met", lambda a: F.transform(
+        F.filter("_met", lambda b: a["first"] < b["last"]), lambda b: (a["c"] + 1) * CLASSES + b["c"])))
+    numbers = F.transform(F.concat(F.transform("_met", lambda a: a["c"]), pairs), lambda n: n.cast("string"))
+    value = F.col(text)
+    return (
+        df.withColumn("_classes", F.when(ordered, F.transform(_letters(value), _class))).withColumn("_back", F.reverse("_classes"))
+        .withColumn("_met", F.when(ordered, met))
+        .withColumn("keys", F.when(ordered, numbers).when(F.col("field") == "summary", _adjacent(value)).otherwise(_heads(value)))
+        .drop("_classes", "_back", "_met")
+    )
 
 
 def letters_in_order(text: Column, token: Column) -> Column:
@@ -120,10 +125,11 @@ def match_texts(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     Texts without letters and empty tables match nothing.
     """
     every = F.explode(F.array(*[F.lit(f) for f in SCALE]))
-    asked = tokens.select("token", every.alias("field")).select(
-        "field", "token", F.explode(F.when(F.col("field") == "notes", F.array(F.left("token", F.lit(PREFIX)))).otherwise(
-            _keys(F.col("field"), F.col("token")))).alias("key"))
-    postings = texts.select("field", "value", F.explode(_keys(F.col("field"), F.col("value"))).alias("key"))
+    # Outer, though no text is without keys: else Spark works out all keys a second time, in a filter for empty lists.
+    asked = _keyed(tokens.select("token", every.alias("field")), "token").select("field", "token", F.explode_outer("keys").alias("key"))
+    # Keys cost time, not bytes, so texts are spread over as many tasks as a shuffle has.
+    spread = texts.select("field", "value").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "field", "value")
+    postings = _keyed(spread, "value").select("field", "value", F.explode_outer("keys").alias("key"))
     counts = postings.groupBy("field", "key").agg(F.count("*").alias("n"))  # combined in each task: few keys leave it
     # A key that no text has rules its word out.
     chosen = asked.join(counts, ["field", "key"], "left").groupBy("field", "token").agg(
