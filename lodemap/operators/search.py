@@ -94,10 +94,10 @@ def field_score(text: Column, token: Column) -> Column:
     return F.when(text == token, 0.0).when(F.startswith(text, token), 0.05).when(at > 0, inside).otherwise(letters_in_order(text, token))
 
 
-def _words(requests: DataFrame) -> DataFrame:
-    """(query_id, token): the distinct words of each request."""
-    words = F.explode(F.array_distinct(F.split(F.lower("text"), r"[ \t]+")))
-    return requests.select("query_id", words.alias("token")).filter("token <> ''").distinct()
+def _requests(requests: DataFrame) -> DataFrame:
+    """(query_id, asked): each request's distinct words in order, with single spaces between them; those without a word are left out."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t]+"), lambda w: w != "")))
+    return requests.select("query_id", F.array_join(words, " ").alias("asked")).filter("asked <> ''").distinct()
 
 
 def _fields(nodes: DataFrame, limit: int) -> DataFrame:
@@ -155,16 +155,21 @@ def search_requests(nodes: DataFrame, requests: DataFrame, limit: int = 50, type
     """Best nodes for each row of ``requests(query_id, text)``: (repo_id, query_id, id, score, hit_rank), as ``graph.search`` ranks them.
 
     Words are alternatives and the best field of the best word counts. Each distinct text is scored once, whatever number of nodes
-    bears it. Null and empty texts match nothing, a request without a word has no rows, and of several rows with one
+    bears it, and requests of the same words are answered once. Null and empty texts match nothing, a request without a word has no rows, and of several rows with one
     ``query_id`` the words are taken together. Ties go by ``node_ord`` (``id`` without it), then ``id``.
     """
-    words = cut(_words(requests))
+    wanted = cut(_requests(requests))
+    words = cut(wanted.select("asked").distinct()).select("asked", F.explode(F.split("asked", " ")).alias("token"))
     fields = cut(_fields(nodes if types is None else nodes.filter(F.col("type").isin(types)), limit))
     matches = match_texts(fields.select("field", "value").distinct(), words.select("token").distinct())
-    best = matches.join(words, "token").groupBy("field", "value", "query_id").agg(F.min("score").alias("score"))
+    best = matches.join(words, "token").groupBy("field", "value", "asked").agg(F.min("score").alias("score"))
     # A text that many repositories have is dealt out by repository.
     dealt = fields.withColumn("part", F.pmod(F.xxhash64(K), F.lit(SALTS)).cast("int"))
     looking = best.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = dealt.join(looking, ["field", "value", "part"]).groupBy(K, "query_id", "id").agg(F.min("score").alias("score"), F.min("_o").alias("_o"))
+    hits = dealt.join(looking, ["field", "value", "part"]).groupBy(K, "asked", "id").agg(F.min("score").alias("score"), F.min("_o").alias("_o"))
+    listed = first_rows(hits, [K, "asked"], ["score", "_o", "id"], limit)
+    # Lists go to all who asked; the best of an id's lists are the best of all its words.
+    told = listed.join(wanted, "asked").repartition(K, "query_id").groupBy(K, "query_id", "id").agg(
+        F.min("score").alias("score"), F.min("_o").alias("_o"))
     w = Window.partitionBy(K, "query_id").orderBy("score", "_o", "id")
-    return hits.withColumn("hit_rank", F.row_number().over(w)).filter(F.col("hit_rank") <= limit).drop("_o")
+    return told.withColumn("hit_rank", F.row_number().over(w)).filter(F.col("hit_rank") <= limit).drop("_o")
