@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(shared)
 
 
+def run_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, for tables of one run."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/run-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -57,6 +65,29 @@ def first_rows(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataF
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def islands(df: DataFrame, keys: list[str], start: str, end: str, name: str) -> DataFrame:
+    """``df`` with the first ``start`` of its island: intervals of a group that overlap or touch, directly or by others.
+
+    As in :func:`number_rows` a group of any size is cut into pieces by range, each piece is swept on its own and takes
+    over what the pieces before it left: the furthest end and the last island's start.
+    """
+    laid = cut(df.repartitionByRange(*[F.col(k) for k in keys], F.col(start), F.col(end)).withColumn("_piece", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_piece").orderBy(start, end)
+    ends = laid.groupBy(*keys, "_piece").agg(F.max(end).alias("_m")).select(*keys, "_piece", F.max("_m").over(before).alias("_far"))
+    reach = F.greatest(F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)), "_far")
+    heads = (
+        laid.join(ends, [*keys, "_piece"]).withColumn("_reach", reach)
+        .withColumn("_head", F.when(F.col("_reach").isNull() | (F.col("_reach") < F.col(start)), F.col(start)))
+    )
+    starts = heads.groupBy(*keys, "_piece").agg(F.max("_head").alias("_h")).select(*keys, "_piece", F.max("_h").over(before).alias("_open"))
+    return (
+        heads.join(starts, [*keys, "_piece"])
+        .withColumn(name, F.coalesce(F.max("_head").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_open"))
+        .drop("_piece", "_far", "_reach", "_head", "_open")
+    )
+
+
 def cap_rows(df: DataFrame, keys: list[str], order: list, n: int) -> tuple[DataFrame, DataFrame]:
     """(rows kept, groups cut): the first ``n`` rows of every group; only groups over ``n`` are ranked at all."""
     over = df.groupBy(*keys).agg(F.count("*").alias("total")).filter(F.col("total") > n)
