@@ -6,7 +6,7 @@ import importlib
 
 MODULES = ["graph_queries", "path_queries", "build_queries", "repair_queries", "change_queries", "wiki_queries", "extract_queries",
            "enrich_queries", "analyze_queries",
-           "language_queries", "stream_queries"]
+           "language_queries", "stream_queries", "pack_queries"]
 
 
 def registry() -> dict:
