@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodemap.functions import dims
 from lodemap.functions.text import clamp, col, is_safe_relative, loosely, slug
 from lodemap.operators.graph import adjacency, collapse_edges, degree, search, shared_owner_pairs
-from lodemap.plans.cut import number_rows
+from lodemap.plans.cut import cut, number_rows, spread
 
 K = "repo_id"
 STRINGS = "array<string>"
@@ -114,16 +114,19 @@ def requests(items: DataFrame, projects: DataFrame) -> DataFrame:
 
 # --- responses --------------------------------------------------------------------------
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def json_object(text: Column | str) -> Column:
     """The first balanced JSON object of a response as VARIANT, null if there is none.
 
-    A response that is an object as a whole is taken as it is; else one fold over its braces, strings and the runs
-    between them finds where the object that starts at the first brace ends.
+    What lies between the first and the last brace is mostly the object itself. Only where that can't be parsed, one fold over
+    braces, strings and the runs between them finds where the object that starts at the first brace ends.
     """
     c = col(text)
-    whole = F.try_parse_json(c)
     tail = F.substring(c, F.instr(c, "{"), F.length(c))
-    tokens = F.regexp_extract_all(tail, F.lit(r'[{}]|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"?|[^{}"]+'), 0)
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
 
     def step(s: Column, t: Column) -> Column:
@@ -132,9 +135,11 @@ def json_object(text: Column | str) -> Column:
         return F.struct(at.alias("at"), depth.alias("depth"),
                         F.when((s["end"] == 0) & (t == "}") & (depth == 0), at).otherwise(s["end"]).alias("end"))
 
-    end = F.aggregate(tokens, zero, step, lambda s: s["end"])
-    found = F.when((F.instr(c, "{") > 0) & (end > 0), F.try_parse_json(F.left(tail, end)))
-    return F.when(F.schema_of_variant(whole).startswith("OBJECT"), whole).otherwise(found)
+    def balanced(t: Column) -> Column:
+        tokens = F.regexp_extract_all(t, F.lit(r'[{}]|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"?|[^{}"]+'), 0)
+        return _once(F.aggregate(tokens, zero, step, lambda s: s["end"]), lambda end: F.when(end > 0, F.try_parse_json(F.left(t, end))))
+
+    return F.when(F.instr(c, "{") > 0, F.coalesce(F.try_parse_json(F.regexp_extract(c, r"(?s)\{.*\}", 0)), _once(tail, balanced)))
 
 
 def _kind(v: Column, path: str) -> Column:
@@ -148,7 +153,7 @@ def _text(v: Column, path: str) -> Column:
 def _objects(v: Column, path: str) -> Column:
     """A list whose elements are all objects, else null."""
     items = F.when(_kind(v, path).startswith("ARRAY"), F.try_variant_get(v, path, "array<variant>"))
-    return F.when(F.forall(items, lambda x: F.schema_of_variant(x).startswith("OBJECT")), items)
+    return _once(items, lambda xs: F.when(F.forall(xs, lambda x: F.schema_of_variant(x).startswith("OBJECT")), xs))
 
 
 def _trim(c: Column) -> Column:
@@ -161,8 +166,8 @@ def parse_responses(responses: DataFrame, asked: DataFrame) -> DataFrame:
     ``responses(repo_id, request_id, text)``, ``asked(repo_id, request_id, id)``. Only ids that were asked for count,
     the last entry of an id wins, summaries are cut at 400 characters and five tags kept.
     """
-    read_once = responses.select(K, "request_id", json_object("text").alias("o"))
-    items = read_once.select(K, "request_id", F.posexplode(_objects(F.col("o"), "$.items")).alias("_p", "v"))
+    read_once = spread(responses, K, "request_id").select(K, "request_id", json_object("text").alias("o"))
+    items = read_once.select(K, "request_id", F.posexplode_outer(_objects(F.col("o"), "$.items")).alias("_p", "v"))
     v = F.col("v")
     raw_tags = F.when(_kind(v, "$.tags") == "ARRAY<STRING>", F.try_variant_get(v, "$.tags", STRINGS))
     tags = F.filter(F.transform(F.coalesce(raw_tags, F.array().cast(STRINGS)), lambda t: F.btrim(F.lower(t), F.lit(" \t"))), lambda t: t != "")
@@ -222,23 +227,23 @@ def domain_graph(responses: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
     """(nodes, edges) of the business map in each repository's response (repo_id, text).
 
     Entries without a name are skipped. Links lead only to nodes the
-    graph has. Domains that share a node are joined once.
+    graph has. Domains that share a node are joined once. Responses are read once; each level is kept, as several edges come of it.
     """
     known = nodes.select(K, F.col("id").alias("node_id")).distinct()
     v = F.col("v")
-    read_once = responses.select(K, json_object("text").alias("o"))
-    top = read_once.select(K, F.posexplode(_objects(F.col("o"), "$.domains")).alias("d_ord", "v"))
+    read_once = spread(responses, K, "text").select(K, json_object("text").alias("o"))
+    top = read_once.select(K, F.posexplode_outer(_objects(F.col("o"), "$.domains")).alias("d_ord", "v"))
     listed = F.when(_kind(v, "$.nodeIds") == "ARRAY<STRING>", F.try_variant_get(v, "$.nodeIds", STRINGS))
-    domains = top.select(K, "d_ord", *_named(v, 400), listed.alias("node_ids"), _objects(v, "$.flows").alias("_f")).filter("name <> ''").withColumn(
-        "domain_id", F.concat(F.lit("domain:"), slug("name")))
-    flows = domains.select(K, "d_ord", "domain_id", F.posexplode("_f").alias("f_ord", "v")).select(
+    domains = cut(top.select(K, "d_ord", *_named(v, 400), listed.alias("node_ids"), _objects(v, "$.flows").alias("_f")).filter("name <> ''").withColumn(
+        "domain_id", F.concat(F.lit("domain:"), slug("name"))))
+    flows = cut(domains.select(K, "d_ord", "domain_id", F.posexplode("_f").alias("f_ord", "v")).select(
         K, "d_ord", "domain_id", "f_ord", *_named(v), _objects(v, "$.steps").alias("_s")).filter("name <> ''").withColumn(
-        "flow_id", F.concat("domain_id", F.lit(":flow:"), slug("name")))
+        "flow_id", F.concat("domain_id", F.lit(":flow:"), slug("name"))))
     raw_steps = flows.select(K, "d_ord", "domain_id", "f_ord", "flow_id", F.posexplode("_s").alias("s_raw", "v")).select(
         K, "d_ord", "domain_id", "f_ord", "flow_id", "s_raw", *_named(v), _text(v, "$.nodeId").alias("node_id")).filter("name <> ''")
     w = Window.partitionBy(K, "d_ord", "f_ord").orderBy("s_raw")
-    steps = raw_steps.withColumn("s_ord", F.row_number().over(w) - 1).withColumn(
-        "step_id", F.concat("flow_id", F.lit(":step:"), F.col("s_ord").cast("string"), F.lit("-"), slug("name"))).withColumn("previous", F.lag("step_id").over(w))
+    steps = cut(raw_steps.withColumn("s_ord", F.row_number().over(w) - 1).withColumn(
+        "step_id", F.concat("flow_id", F.lit(":step:"), F.col("s_ord").cast("string"), F.lit("-"), slug("name"))).withColumn("previous", F.lag("step_id").over(w)))
     none = F.lit(-1)
 
     def made(df: DataFrame, key: str, kind: str, *order: Column) -> DataFrame:

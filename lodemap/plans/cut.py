@@ -35,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return frozen.select(*[F.col(f"`{c}`").alias(c) for c in frozen.columns])
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many tasks as a shuffle has. For rows that cost time and not bytes: a small file of many
+    rows is one task, and AQE would put small shuffles together again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
     """1-based position of each row inside its ``keys`` group, for groups of any size.
 
