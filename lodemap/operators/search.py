@@ -156,17 +156,24 @@ def search_requests(nodes: DataFrame, requests: DataFrame, limit: int = 50, type
 
     Words are alternatives and the best field of the best word counts. Each distinct text is scored once, whatever number of nodes
     bears it, and requests of the same words are answered once. Null and empty texts match nothing, a request without a word has no rows, and of several rows with one
-    ``query_id`` the words are taken together. Ties go by ``node_ord`` (``id`` without it), then ``id``.
+    ``query_id`` the words are taken together. Ties go by ``node_ord`` (``id`` without it), then ``id``, which a repository has once.
     """
     wanted = cut(_requests(requests))
     words = cut(wanted.select("asked").distinct()).select("asked", F.explode(F.split("asked", " ")).alias("token"))
     fields = cut(_fields(nodes if types is None else nodes.filter(F.col("type").isin(types)), limit))
     matches = match_texts(fields.select("field", "value").distinct(), words.select("token").distinct())
     best = matches.join(words, "token").groupBy("field", "value", "asked").agg(F.min("score").alias("score"))
-    # A text that many repositories have is dealt out by repository.
-    dealt = fields.withColumn("part", F.pmod(F.xxhash64(K), F.lit(SALTS)).cast("int"))
+    # A text that many repositories have is dealt out by repository. It stands for its first node there: a node bears a text in each
+    # field at most, so ``limit`` nodes come before all nodes of texts beyond the first ``limit`` times the fields.
+    firsts = fields.groupBy(K, "field", "value").agg(F.min(F.struct("_o", "id")).alias("_first"))
+    dealt = firsts.withColumn("part", F.pmod(F.xxhash64(K), F.lit(SALTS)).cast("int"))
     looking = best.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = dealt.join(looking, ["field", "value", "part"]).groupBy(K, "asked", "id").agg(F.min("score").alias("score"), F.min("_o").alias("_o"))
+    ahead = first_rows(
+        dealt.join(looking, ["field", "value", "part"]).select(K, "asked", "field", "value", "score", "_first"),
+        [K, "asked"], ["score", "_first"], len(SCALE) * limit)
+    ahead = ahead.select(F.col(K).alias("_k"), F.col("field").alias("_f"), F.col("value").alias("_v"), "asked", "score")
+    here = F.col(K).eqNullSafe(F.col("_k")) & (F.col("field") == F.col("_f")) & (F.col("value") == F.col("_v"))
+    hits = fields.join(ahead, here).groupBy(K, "asked", "id").agg(F.min("score").alias("score"), F.min("_o").alias("_o"))
     listed = first_rows(hits, [K, "asked"], ["score", "_o", "id"], limit)
     # Lists go to all who asked; the best of an id's lists are the best of all its words.
     told = listed.join(wanted, "asked").repartition(K, "query_id").groupBy(K, "query_id", "id").agg(

@@ -51,3 +51,19 @@ def test_a_word_meets_only_texts_under_its_rarest_key(spark):
     found = {(r.value, r.token) for r in S.match_texts(texts, tokens).collect()}
     want = {(r.value, "commn") for r in texts.collect()} | {(r.value, "wvrn") for r in texts.collect() if "wyvern" in r.value}
     assert found == want
+
+
+def test_nodes_meet_only_texts_that_can_be_listed(spark, rows, monkeypatch):
+    """Forty texts match; for a list of two, nodes are joined to the first eight of them. A null repository has its list too."""
+    nodes = spark.createDataFrame([(k, f"n{i:02}{j}", f"match{i:02}") for k in (0, None) for i in range(40) for j in range(3)], "repo_id long, id string, name string")
+    asked = spark.createDataFrame([("q", "match")], "query_id string, text string")
+    sizes, first = [], S.first_rows
+
+    def seen(df, keys, order, n=1):
+        sizes.append(first(df, keys, order, n).count() if "asked" in keys else 0)
+        return first(df, keys, order, n)
+
+    monkeypatch.setattr(S, "first_rows", seen)
+    got = S.search_requests(nodes, asked, 2)
+    assert rows(got, "repo_id", "id", "hit_rank") == [(0, "n000", 1), (0, "n001", 2), (None, "n000", 1), (None, "n001", 2)]
+    assert sizes == [0, 2 * 8, 2 * 2]
