@@ -1,4 +1,4 @@
-"""Toxicity: a convolutional text classifier with hashed word embeddings, trained in numpy on a bounded sample of labelled rows."""
+"""Toxicity: a convolutional text classifier with hashed word embeddings, trained in numpy on all labelled rows."""
 
 from __future__ import annotations
 
@@ -10,10 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemap.llm.common import ALNUM, arrow_map, batch, blocks, table, word_hashes
+from lodemap.llm.common import ALNUM, arrow_map, batch, bit_table, blocks, cut, in_table, table, word_hashes
 
-#: Labelled rows of each class that the classifier is fitted on, at most; their texts are taken whole.
+#: Labelled rows of each class that the driver fits a net on, at most; their texts are taken whole. Where there are more, tasks go on with all.
 SAMPLE_PER_CLASS = 2500
+#: Labelled rows of one task, and rounds of all tasks, at most.
+TASK_ROWS = 4096
+ROUNDS = 4
+#: Steps of a task in a round, at least, if four passes over its rows give so many.
+ROUND_STEPS = 20
 
 BUCKETS = 1 << 17
 WIDTHS = (1, 2, 3)
@@ -21,7 +26,7 @@ FILTERS = 8
 DIMS = 8
 LEAST_STEPS = 600
 HASHES = 3
-#: Words in fewer sampled rows share one embedding, of zeros.
+#: Words in fewer labelled rows share one embedding, of zeros.
 LEAST_ROWS = 4
 
 
@@ -95,51 +100,33 @@ def _adam(p: np.ndarray, g: np.ndarray, state: dict, rate: float, step: int) ->
     p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, langs: list[str | None], epochs: int = 8, seed: int = 7) -> Model:
-    """Fits filters, embeddings and output by Adam on batches of texts; calibrates on a fifth that is held back.
-
-    ``texts`` are buckets of words and are released as they are laid out, ``weights`` undo the sample's balance of classes in calibration and thresholds. With one
-    class only, or no rows, every text scores the rate of toxic rows (0 without rows).
-    """
-    rng = np.random.default_rng(seed)
-    n_filters, pad = FILTERS * len(WIDTHS), len(WIDTHS) - 1
-    seen = np.zeros((HASHES, BUCKETS), np.int32)
-    for t in texts:
-        for k in range(HASHES):
-            seen[k, np.unique(t[k])] += 1
-    known = seen >= LEAST_ROWS
-    share = float(np.average(labels, weights=weights)) if len(labels) else 0.0
-    if not 0 < share < 1:
-        empty = [np.zeros((1, sum(FILTERS for w in WIDTHS if w > j)), np.float32) for j in range(pad + 1) for _ in range(HASHES)]
-        none = np.zeros(n_filters, np.float32)
-        return Model(np.zeros((HASHES, BUCKETS), np.int32), empty, none, none, 0.0, (0.0, 30.0 if share else -30.0))
-    # Known buckets get dense rows of the embeddings; row 0 stays zero.
-    dense = np.zeros((HASHES, BUCKETS), np.int32)
-    for k in range(HASHES):
-        dense[k, known[k]] = np.arange(1, known[k].sum() + 1)
-    # Rows and starts of windows in as few bytes as hold them; a batch's windows are laid out when its turn comes.
-    kind = np.uint16 if known.sum(1).max() < 1 << 16 else np.int32
-    laid = []
-    for i, t in enumerate(texts):
-        wide, at, _ = windows(np.stack([dense[k][t[k]] for k in range(HASHES)]), np.array([t.shape[1]]))
-        laid.append((wide.astype(kind), at.astype(np.int32)))
-        texts[i] = t = None
-    emb = [rng.normal(0, 0.1, (known[k].sum() + 1, DIMS)).astype(np.float32) for k in range(HASHES)]
-    for e in emb:
-        e[0] = 0
-    conv = [rng.normal(0, 0.3, (w * DIMS, FILTERS)).astype(np.float32) for w in WIDTHS]
-    bias = np.zeros(n_filters, np.float32)
-    out = rng.normal(0, 0.3, n_filters).astype(np.float32)
-    out_bias = np.zeros(1, np.float32)
-    params = [*emb, *conv, bias, out, out_bias]
-    states: list[dict] = [{} for _ in params]
-    order = rng.permutation(len(texts))
-    held, used = order[: len(texts) // 5], order[len(texts) // 5 :]
-
-    def forward(rows: list[int]):
-        parts = [laid[i] for i in rows]
+class Net:
+    """The classifier while it is trained: embeddings of known buckets, convolutions and output, and their Adam steps."""
+
+    def __init__(self, params: list[np.ndarray], lazy: bool = False) -> None:
+        self.params = params
+        self.states: list[dict] = [{} for _ in params]
+        self.steps = 0
+        # Lazy nets move and count only embeddings that have a gradient.
+        self.hits = [np.zeros(len(p), np.int64) for p in params[:HASHES]] if lazy else None
+
+    @staticmethod
+    def start(sizes: list[int], rng: np.random.Generator) -> Net:
+        """``sizes`` are the rows of the embeddings of each hash; row 0 stays zero."""
+        n_filters = FILTERS * len(WIDTHS)
+        emb = [rng.normal(0, 0.1, (n, DIMS)).astype(np.float32) for n in sizes]
+        for e in emb:
+            e[0] = 0
+        conv = [rng.normal(0, 0.3, (w * DIMS, FILTERS)).astype(np.float32) for w in WIDTHS]
+        return Net([*emb, *conv, np.zeros(n_filters, np.float32), rng.normal(0, 0.3, n_filters).astype(np.float32), np.zeros(1, np.float32)])
+
+    def forward(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        """(pooled activations, logits, what a step needs) of texts laid out by :func:`lay`."""
+        emb, conv = self.params[:HASHES], self.params[HASHES : HASHES + len(WIDTHS)]
+        bias, out, out_bias = self.params[HASHES + len(WIDTHS) :]
+        pad = len(WIDTHS) - 1
         sizes = np.array([len(at) for _, at in parts])
-        pooled, best = np.zeros((len(rows), n_filters), np.float32), None
+        pooled, best = np.zeros((len(parts), len(bias)), np.float32), None
         if sizes.sum():
             win = np.stack([np.concatenate([wide[k, at + j] for wide, at in parts]) for j in range(pad + 1) for k in range(HASHES)])
             x = np.concatenate([sum(emb[k][win[HASHES * j + k]] for k in range(HASHES)) for j in range(pad + 1)], axis=1)
@@ -151,56 +138,122 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, lang
             best = (win, x, act, full, tops, sizes[full])
         return pooled, pooled @ out + out_bias[0], best
 
+    def step(self, parts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, w: np.ndarray | float = 1.0) -> None:
+        """One Adam step; ``w`` weighs the rows."""
+        conv, out = self.params[HASHES : HASHES + len(WIDTHS)], self.params[-2]
+        pooled, logit, best = self.forward(parts)
+        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        d = (w * (p - y) / len(parts)).astype(np.float32)
+        grads = [np.zeros_like(q) for q in self.params]
+        grads[-1][0], grads[-2][:] = d.sum(), pooled.T @ d
+        if best is not None:
+            win, x, act, full, tops, sizes = best
+            where = np.stack([act[t : t + n].argmax(0) + t for t, n in zip(tops.tolist(), sizes.tolist(), strict=True)])
+            for k, width in enumerate(WIDTHS):
+                own = slice(k * FILTERS, (k + 1) * FILTERS)
+                i, f = np.nonzero(pooled[full, own] > 0)
+                at, g = where[:, own][i, f], (d[full[i]] * out[own][f])[:, None]
+                np.add.at(grads[HASHES + k].T, f, g * x[at, : width * DIMS])
+                np.add.at(grads[HASHES + len(WIDTHS)][own], f, g[:, 0])
+                gx = g * conv[k].T[f]
+                for j in range(width):
+                    for h in range(HASHES):
+                        np.add.at(grads[h], win[HASHES * j + h, at], gx[:, j * DIMS : (j + 1) * DIMS])
+            for h in range(HASHES):
+                grads[h][0] = 0
+        self.steps += 1
+        for h, (q, g, s) in enumerate(zip(self.params, grads, self.states, strict=True)):
+            if self.hits is not None and h < HASHES:
+                rows = np.flatnonzero(g.any(1))
+                own = {k: v[rows] for k, v in s.items()}
+                moved = q[rows]
+                _adam(moved, g[rows], own, 0.01, self.steps)
+                q[rows] = moved * (1 - 1e-3)
+                self.hits[h][rows] += 1
+                for k, v in own.items():
+                    s.setdefault(k, np.zeros_like(q))[rows] = v
+                continue
+            _adam(q, g, s, 0.01, self.steps)
+            q *= 1 - 1e-3
+
+    def logits(self, laid: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        return np.concatenate([self.forward(laid[i : i + 64])[1] for i in range(0, len(laid), 64)] or [np.zeros(0)]).astype(np.float64)
+
+    def model(self, dense: np.ndarray, scale: tuple[float, float]) -> Model:
+        emb, conv = self.params[:HASHES], self.params[HASHES : HASHES + len(WIDTHS)]
+        tables = []
+        for j in range(len(WIDTHS)):
+            for k in range(HASHES):
+                tables.append(np.concatenate([emb[k] @ conv[i][j * DIMS : (j + 1) * DIMS] for i, w in enumerate(WIDTHS) if w > j], axis=1))
+        return Model(dense, tables, self.params[-3], self.params[-2], float(self.params[-1][0]), scale)
+
+
+def rows_of(seen: np.ndarray) -> np.ndarray:
+    """Per hash the embedding row of every bucket, from the number of texts that have it; row 0 for buckets of rare words."""
+    dense = np.zeros((HASHES, BUCKETS), np.int32)
+    for k in range(HASHES):
+        known = seen[k] >= LEAST_ROWS
+        dense[k, known] = np.arange(1, known.sum() + 1)
+    return dense
+
+
+def lay(words: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Embedding rows and starts of the windows of one text, in as few bytes as hold them."""
+    kind = np.uint16 if dense.max() < 1 << 16 else np.int32
+    wide, at, _ = windows(np.stack([dense[k][words[k]] for k in range(HASHES)]), np.array([words.shape[1]]))
+    return wide.astype(kind), at.astype(np.int32)
+
+
+def fit_net(texts: list[np.ndarray], labels: np.ndarray, epochs: int, rng: np.random.Generator):
+    """(net, embedding rows of buckets, texts laid out, held-back rows) of texts in memory, which are released as they are laid out."""
+    seen = np.zeros((HASHES, BUCKETS), np.int32)
+    for t in texts:
+        for k in range(HASHES):
+            seen[k, np.unique(t[k])] += 1
+    dense = rows_of(seen)
+    laid = []
+    for i, t in enumerate(texts):
+        laid.append(lay(t, dense))
+        texts[i] = t = None
+    net = Net.start([int(dense[k].max()) + 1 for k in range(HASHES)], rng)
+    order = rng.permutation(len(texts))
+    held, used = order[: len(texts) // 5], order[len(texts) // 5 :]
     held = held.tolist() or used.tolist()
     # Small samples get more rounds; training ends when the held-back rows haven't gained for a while.
     per_round = -(-len(used) // 64)
     patience = max(3, -(-150 // per_round))
-    step, best_loss, best_params, stale = 0, np.inf, params, 0
+    best_loss, best_params, stale = np.inf, net.params, 0
     for _ in range(max(epochs, -(-LEAST_STEPS // per_round))):
         rng.shuffle(used)
         for lo in range(0, len(used), 64):
             rows = used[lo : lo + 64].tolist()
-            pooled, logit, best = forward(rows)
-            p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-            d = ((p - labels[rows]) / len(rows)).astype(np.float32)
-            grads = [np.zeros_like(q) for q in params]
-            grads[-1][0], grads[-2][:] = d.sum(), pooled.T @ d
-            if best is not None:
-                win, x, act, full, tops, sizes = best
-                where = np.stack([act[t : t + n].argmax(0) + t for t, n in zip(tops.tolist(), sizes.tolist(), strict=True)])
-                for k, width in enumerate(WIDTHS):
-                    own = slice(k * FILTERS, (k + 1) * FILTERS)
-                    i, f = np.nonzero(pooled[full, own] > 0)
-                    w, g = where[:, own][i, f], (d[full[i]] * out[own][f])[:, None]
-                    np.add.at(grads[HASHES + k].T, f, g * x[w, : width * DIMS])
-                    np.add.at(grads[HASHES + len(WIDTHS)][own], f, g[:, 0])
-                    gx = g * conv[k].T[f]
-                    for j in range(width):
-                        for h in range(HASHES):
-                            np.add.at(grads[h], win[HASHES * j + h, w], gx[:, j * DIMS : (j + 1) * DIMS])
-                for h in range(HASHES):
-                    grads[h][0] = 0
-            step += 1
-            for q, g, s in zip(params, grads, states, strict=True):
-                _adam(q, g, s, 0.01, step)
-                q *= 1 - 1e-3
-        logit = np.concatenate([forward(held[i : i + 64])[1] for i in range(0, len(held), 64)]).astype(np.float64)
+            net.step([laid[i] for i in rows], labels[rows])
+        logit = net.logits([laid[i] for i in held])
         loss = float(np.average(np.logaddexp(0, np.where(labels[held] > 0, -logit, logit))))
         stale += 1
         if loss < best_loss:
-            best_loss, best_params, stale = loss, [q.copy() for q in params], 0
+            best_loss, best_params, stale = loss, [q.copy() for q in net.params], 0
         if stale >= patience:
             break
-    for q, x in zip(params, best_params, strict=True):
+    for q, x in zip(net.params, best_params, strict=True):
         q[...] = x
-    tables = []
-    for j in range(pad + 1):
-        for k in range(HASHES):
-            tables.append(np.concatenate([emb[k] @ conv[i][j * DIMS : (j + 1) * DIMS] for i, w in enumerate(WIDTHS) if w > j], axis=1))
-    logit = np.concatenate([forward(held[i : i + 64])[1] for i in range(0, len(held), 64)]).astype(np.float64)
+    return net, dense, laid, held
+
+
+def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, langs: list[str | None], epochs: int = 8, seed: int = 7) -> Model:
+    """Fits filters, embeddings and output by Adam on batches of texts; calibrates on a fifth that is held back.
+
+    ``texts`` are buckets of words and are released as they are laid out, ``weights`` count in calibration and thresholds. With one
+    class only, or no rows, every text scores the rate of toxic rows (0 without rows).
+    """
+    share = float(np.average(labels, weights=weights)) if len(labels) else 0.0
+    if not 0 < share < 1:
+        return one_class(share)
+    net, dense, laid, held = fit_net(texts, labels, epochs, np.random.default_rng(seed))
+    logit = net.logits([laid[i] for i in held])
     scale = calibrate(logit, labels[held], weights[held])
     prob = 1 / (1 + np.exp(-(scale[0] * logit + scale[1])))
-    model = Model(dense, tables, bias, out, float(out_bias[0]), scale)
+    model = net.model(dense, scale)
     model.threshold = best_threshold(prob, labels[held], weights[held])
     for lang in sorted({x for x in (langs[i] for i in held) if x is not None}):
         own = np.array([langs[i] == lang for i in held])
@@ -209,6 +262,14 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, lang
     return model
 
 
+def one_class(share: float) -> Model:
+    """Every text scores ``share``, which is 0 or 1."""
+    n_filters = FILTERS * len(WIDTHS)
+    empty = [np.zeros((1, sum(FILTERS for w in WIDTHS if w > j)), np.float32) for j in range(len(WIDTHS)) for _ in range(HASHES)]
+    none = np.zeros(n_filters, np.float32)
+    return Model(np.zeros((HASHES, BUCKETS), np.int32), empty, none, none, 0.0, (0.0, 30.0 if share else -30.0))
+
+
 def calibrate(logit: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 400) -> tuple[float, float]:
     """Scale and shift of logits by weighted logistic regression (Newton steps with a small pull towards 1 and 0)."""
     a, b = 1.0, 0.0
@@ -239,11 +300,13 @@ def best_threshold(prob: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, usable, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", lang_col: str | None = "lang") -> Model:
-    """The model from at most ``per_class`` labelled rows of each class, taken in the order of a hash of their ids.
+    """The model from all labelled rows.
 
     ``usable`` is a condition on the id column ``doc_id`` that admits labels. Labels that are null or not 0 or 1, ids
-    without a document and ids with two different labels count for nothing. Words of the sampled rows reach the driver
-    as hashes, all of them; language serves the thresholds only.
+    without a document and ids with two different labels count for nothing. Up to ``per_class`` rows of each class are
+    trained on by the driver, which gets their words as hashes. Where a class has more, a net of so many rows of each
+    class (in the order of a hash of their ids) is only the start: tasks go on from it with all rows, see :func:`_fit_by_tasks`.
+    Language serves the thresholds only.
     """
     marked = (
         labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("y"))
@@ -260,8 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, per_class: int = SAMPLE_PER_
     def words(rows: pa.RecordBatch) -> pa.RecordBatch:
         out: list[bytes] = []
         for _, raws in blocks(rows.column(3).to_pylist()):
-            ids, counts = words_of(raws)
-            out += [np.ascontiguousarray(t).tobytes() for t in np.split(ids, np.cumsum(counts)[:-1], axis=1)]
+            out += [np.ascontiguousarray(t).tobytes() for t in texts_of(raws)]
         return batch(schema, doc_id=rows.column(0), y=rows.column(1), lang=rows.column(2), words=out)
 
     lang = docs[lang_col].cast("string") if lang_col else F.lit(None).cast("string")
@@ -270,12 +332,189 @@ def fit(docs: DataFrame, labels: DataFrame, usable, per_class: int = SAMPLE_PER_
     joined = picked.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "lang", "text")
     rows = sorted(arrow_map(joined, words, "doc_id long, y int, lang string, words binary").collect(), key=lambda r: (r["doc_id"], r["words"]))
     y = np.array([r["y"] for r in rows], np.float64)
-    taken = {c: max(1, int((y == c).sum())) for c in (0, 1)}
-    weights = np.array([sizes[r["y"]] / taken[r["y"]] for r in rows], np.float64)
     langs = [r["lang"] for r in rows]
     texts = [np.frombuffer(r["words"], np.int32).reshape(HASHES, -1) for r in rows]
     del rows
-    return train(texts, y, weights, langs)
+    if max(sizes.values(), default=0) <= per_class:
+        return train(texts, y, np.ones(len(y)), langs)
+    return _fit_by_tasks(_labelled(picked, marked, sum(sizes.values())), texts, y)
+
+
+def texts_of(raws: list[bytes]) -> list[np.ndarray]:
+    """Buckets of the words of each text."""
+    ids, counts = words_of(raws)
+    return np.split(ids, np.cumsum(counts)[:-1], axis=1)
+
+
+def _labelled(picked: DataFrame, marked: DataFrame, n: int) -> DataFrame:
+    """(doc_id, y, lang, text, held) of every labelled document, about ``TASK_ROWS`` of them in a partition.
+
+    A bit table of the labelled ids (8 MB at most) keeps most other texts from being shuffled; the join decides.
+    """
+    bits = 1 << min(26, max(16, (16 * n).bit_length()))
+    flags = bit_table(marked.select(F.expr(f"xxhash64(doc_id) & {bits - 1}L").alias("slot")), bits)
+    sent = picked.sparkSession.sparkContext.broadcast(flags)
+
+    def hit(rows: pa.RecordBatch) -> pa.RecordBatch:
+        return rows.filter(pa.array(in_table(sent.value, rows.column(3).to_numpy()))).drop_columns(["slot"])
+
+    some = arrow_map(picked.filter("doc_id is not null").withColumn("slot", F.expr(f"xxhash64(doc_id) & {bits - 1}L")), hit, "doc_id long, lang string, text string")
+    parts = -(-n // TASK_ROWS)
+    # A fifth is held back from training, as on the driver.
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(5)) == 0
+    return cut(some.join(marked, "doc_id").select("doc_id", "y", "lang", "text", held.alias("held")).repartition(parts, "doc_id"))
+
+
+def _bucket_counts(rows: DataFrame) -> np.ndarray:
+    """In how many texts each bucket of each hash is; tasks add up their own, 393,216 rows at most reach the driver."""
+    schema = pa.schema([("at", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((HASHES, BUCKETS), np.int64)
+        for some in batches:
+            for _, raws in blocks(some.column(0).to_pylist()):
+                for t in texts_of(raws):
+                    for k in range(HASHES):
+                        seen[k, np.unique(t[k])] += 1
+        at = np.flatnonzero(seen)
+        yield batch(schema, at=at.astype(np.int32), n=seen.ravel()[at])
+
+    found = rows.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(HASHES * BUCKETS, np.int64)
+    out[found["at"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(HASHES, BUCKETS)
+
+
+def _steps(n: int) -> int:
+    """Steps of a task with ``n`` rows in a round: whole passes."""
+    per_pass = max(1, -(-n // 64))
+    return per_pass * min(4, -(-ROUND_STEPS // per_pass))
+
+
+def _round(rows: DataFrame, params: list[np.ndarray], dense: np.ndarray, balance: np.ndarray, seed: int) -> tuple[float, list[np.ndarray]]:
+    """(loss of ``params`` on all held-back rows, parameters after every task has stepped over its other rows).
+
+    An embedding is averaged over the tasks by the number of their steps that moved it, all else by their texts. What was
+    moved comes to the driver, one net at most.
+    """
+    schema = pa.schema([("part", pa.int32()), ("row", pa.int32()), ("n", pa.float64()), ("w", pa.list_(pa.float32()))])
+    sent = rows.sparkSession.sparkContext.broadcast((params, dense))
+    wide = max(p.shape[1] for p in params if p.ndim == 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, dense = sent.value
+        net, first = Net([p.copy() for p in start], lazy=True), Net(start)
+        rng = np.random.default_rng(seed)
+        kept, kept_y, loss, weight = [], [], 0.0, 0.0
+        for some in batches:
+            y_all, held_all = some.column(0).to_numpy().astype(np.float64), some.column(2).to_numpy(zero_copy_only=False)
+            for lo, raws in blocks(some.column(1).to_pylist()):
+                laid = [lay(t, dense) for t in texts_of(raws)]
+                y, held = y_all[lo : lo + len(laid)], held_all[lo : lo + len(laid)]
+                w = balance[y.astype(int)]
+                back = np.flatnonzero(held)
+                logit = first.logits([laid[i] for i in back])
+                loss += float((w[back] * np.logaddexp(0, np.where(y[back] > 0, -logit, logit))).sum())
+                weight += float(w[back].sum())
+                for i in np.flatnonzero(~held).tolist():
+                    kept.append(laid[i])
+                    kept_y.append(y[i])
+        n, kept_y = len(kept), np.array(kept_y)
+        for _ in range(_steps(n) // max(1, -(-n // 64))):
+            order = rng.permutation(n)
+            for at in range(0, n, 64):
+                own = order[at : at + 64].tolist()
+                net.step([kept[i] for i in own], kept_y[own], balance[kept_y[own].astype(int)])
+        yield batch(schema, part=[-1], row=[0], n=[1.0], w=[[loss, weight]])
+        for part, p in enumerate(net.params if n else []):
+            count = net.hits[part] if part < HASHES else np.full(len(p), n)
+            at = np.flatnonzero(count)
+            table = (p if p.ndim == 2 else p[:, None])[at] * count[at, None]
+            yield batch(schema, part=np.full(len(at), part, np.int32), row=at.astype(np.int32), n=count[at].astype(float), w=list(table.astype(np.float32)))
+
+    made = rows.select("y", "text", "held").mapInArrow(run, "part int, row int, n double, w array<float>")
+    sums = made.groupBy("part", "row").agg(F.sum("n").alias("n"), *[F.sum(F.get("w", F.lit(i)).cast("double")).alias(f"w{i}") for i in range(wide)])
+    found = sums.toArrow()
+    part, row, n = (found[c].to_numpy() for c in ("part", "row", "n"))
+    values = np.stack([np.nan_to_num(found[f"w{i}"].to_numpy(zero_copy_only=False).astype(float)) for i in range(wide)], 1)
+    after = [p.copy() for p in params]
+    for k, p in enumerate(after):
+        own = part == k
+        mean = (values[own] / n[own][:, None]).astype(np.float32)
+        p[row[own]] = mean[:, : p.shape[1]] if p.ndim == 2 else mean[:, 0]
+    for e in after[:HASHES]:
+        e[0] = 0
+    loss, weight = values[part == -1][0, :2]
+    return loss / max(weight, 1e-9), after
+
+
+def _fit_by_tasks(rows: DataFrame, texts: list[np.ndarray], y: np.ndarray) -> Model:
+    """The model from all ``rows`` of :func:`_labelled`; ``texts`` and ``y`` are those that the net starts from.
+
+    Buckets are counted over all rows. In each round every task goes on from the same net with its own rows, classes weighing the
+    same, and the nets are averaged; rounds end when all held-back rows together gain no more. Calibration and
+    thresholds come from all held-back rows.
+    """
+    found = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(found) < 2:
+        return one_class(float(max(found, default=0)))
+    total = sum(found.values())
+    balance = np.array([total / (2 * found[c]) for c in (0, 1)])
+    dense = rows_of(_bucket_counts(rows))
+    net = Net.start([int(dense[k].max()) + 1 for k in range(HASHES)], np.random.default_rng(7))
+    if len(set(y.tolist())) == 2:
+        first, own, _, _ = fit_net(texts, y, 8, np.random.default_rng(7))
+        for k in range(HASHES):
+            both = (dense[k] > 0) & (own[k] > 0)
+            net.params[k][dense[k][both]] = first.params[k][own[k][both]]
+        net.params[HASHES:] = first.params[HASHES:]
+    params, best, least, stale = net.params, net.params, np.inf, 0
+    # As on the driver, small tables get more rounds, and rounds without a gain are borne for a while.
+    steps = _steps(min(total, TASK_ROWS) * 4 // 5)
+    patience = max(2, -(-100 // steps))
+    for i in range(max(ROUNDS, -(-LEAST_STEPS // (steps * -(-total // TASK_ROWS)))) + 1):
+        loss, after = _round(rows, params, dense, balance, i)
+        stale += 1
+        if loss < least - 1e-3:
+            stale = 0
+        if loss < least:
+            best, least = params, loss
+        if stale >= patience:
+            break
+        params = after
+    sent = rows.sparkSession.sparkContext.broadcast((best, dense))
+    schema = pa.schema([("lang", pa.string()), ("y", pa.int32()), ("logit", pa.float64())])
+
+    def judge(some: pa.RecordBatch) -> pa.RecordBatch:
+        params, dense = sent.value
+        one = Net(params)
+        logit = [one.logits([lay(t, dense) for t in texts_of(raws)]) for _, raws in blocks(some.column(2).to_pylist())]
+        return batch(schema, lang=some.column(0), y=some.column(1), logit=np.concatenate(logit))
+
+    judged = cut(arrow_map(rows.filter("held").select("lang", "y", "text"), judge, "lang string, y int, logit double"))
+    # Logits in steps of 1/256: 30,722 rows at most.
+    step = F.round(F.greatest(F.least("logit", F.lit(30.0)), F.lit(-30.0)) * 256) / 256
+    bins = judged.groupBy("y", step.alias("x")).agg(F.count("*").alias("n")).orderBy("y", "x").toArrow()
+    x, c, n = (bins[k].to_numpy().astype(float) for k in ("x", "y", "n"))
+    scale = calibrate(x, c, n) if len(x) else (1.0, 0.0)
+    model = Net(best).model(dense, scale)
+    cuts = np.round(np.arange(0.05, 0.96, 0.05), 2)
+    met = sum((1 / (1 + F.exp(-(F.lit(scale[0]) * F.col("logit") + F.lit(scale[1])))) >= float(q)).cast("int") for q in cuts)
+    levels = judged.groupBy("lang", "y", met.alias("met")).agg(F.count("*").alias("n")).collect()  # 40 for each language
+    by_lang: dict[str | None, list] = {}
+    for r in levels:
+        by_lang.setdefault(r["lang"], []).append(r)
+
+    def threshold(some: list) -> float:
+        prob = np.array([cuts[r["met"] - 1] if r["met"] else 0.0 for r in some])
+        return best_threshold(prob, np.array([r["y"] for r in some], float), np.array([r["n"] for r in some], float))
+
+    if levels:
+        model.threshold = threshold(levels)
+    for lang, some in sorted((k, v) for k, v in by_lang.items() if k is not None):
+        if sum(r["n"] for r in some if r["y"]) >= 20:
+            model.thresholds[lang] = threshold(some)
+    return model
 
 
 def score_texts(model: Model, texts: list[str | None]) -> np.ndarray:

@@ -82,3 +82,17 @@ def test_tables_without_languages(spark, make, prose):
     model.thresholds = {}
     docs = make([*rows, (None, None), (999, "")])
     assert sorted(map(str, drop_toxic(docs.select("doc_id", "text"), model).collect())) == sorted(map(str, drop_toxic(docs, model).select("doc_id", "text").collect()))
+
+
+def test_every_labelled_row_counts(spark, make, prose):
+    """The class of most rows has a kind of toxic text that the rows of the start (by hash of the id) don't have."""
+    rows, labels = _rows(prose, 400)
+    starts = {r.doc_id for r in spark.range(400).toDF("doc_id").filter("doc_id % 4 = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(40).collect()}
+    bad = [i for i in range(0, 400, 4) if i not in starts]
+    rows = [(i, prose(i, 60) + " rarevenom" if i in set(bad) else t) for i, t in rows]
+    docs = make([*rows, (9001, prose(9001, 60) + " rarevenom"), (9002, prose(9001, 60))])
+    model = fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True), per_class=40)
+    got = {r.doc_id: r.score for r in toxicity(docs, model).collect()}
+    assert got[9001] >= 0.3 > got[9002]
+    assert np.mean([got[i] >= 0.3 for i in bad]) > 0.9 and np.mean([got[i] >= 0.3 for i in starts]) > 0.9
+    assert np.mean([got[i] >= 0.3 for i in range(400) if i % 4]) < 0.05
