@@ -349,7 +349,9 @@ def texts_of(raws: list[bytes]) -> list[np.ndarray]:
 def _labelled(picked: DataFrame, marked: DataFrame, n: int) -> DataFrame:
     """(doc_id, y, lang, text, held) of every labelled document, about ``TASK_ROWS`` of them in a partition.
 
-    A bit table of the labelled ids (8 MB at most) keeps most other texts from being shuffled; the join decides.
+    A bit table of the labelled ids (8 MB at most) keeps most other texts from being shuffled; the join decides. Both sides are
+    dealt by the join's key beforehand, so that texts are shuffled once whichever join is taken. Where a session deals out
+    more partitions, they are put together again: every task of a round hands on a net.
     """
     bits = 1 << min(26, max(16, (16 * n).bit_length()))
     flags = bit_table(marked.select(F.expr(f"xxhash64(doc_id) & {bits - 1}L").alias("slot")), bits)
@@ -362,7 +364,8 @@ def _labelled(picked: DataFrame, marked: DataFrame, n: int) -> DataFrame:
     parts = -(-n // TASK_ROWS)
     # A fifth is held back from training, as on the driver.
     held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(5)) == 0
-    return cut(some.join(marked, "doc_id").select("doc_id", "y", "lang", "text", held.alias("held")).repartition(parts, "doc_id"))
+    dealt = some.repartition(parts, "doc_id").join(marked.repartition(parts, "doc_id"), "doc_id")
+    return cut(dealt.select("doc_id", "y", "lang", "text", held.alias("held"))).coalesce(parts)
 
 
 def _bucket_counts(rows: DataFrame) -> np.ndarray:

@@ -96,3 +96,34 @@ def test_every_labelled_row_counts(spark, make, prose):
     assert got[9001] >= 0.3 > got[9002]
     assert np.mean([got[i] >= 0.3 for i in bad]) > 0.9 and np.mean([got[i] >= 0.3 for i in starts]) > 0.9
     assert np.mean([got[i] >= 0.3 for i in range(400) if i % 4]) < 0.05
+
+
+def test_labelled_texts_are_shuffled_once(spark, make, prose, monkeypatch):
+    rows, labels = _rows(prose, 60)
+    plans = []
+
+    def exchanges(node):
+        below = node.children()
+        own = node.nodeName() == "Exchange" and "text" in list(node.schema().fieldNames())
+        return own + sum(exchanges(below.apply(i)) for i in range(below.size()))
+
+    real = toxicity_module.cut
+
+    def cut(df):
+        plans.append(exchanges(df._jdf.queryExecution().executedPlan()))
+        return real(df.repartition(7))
+
+    monkeypatch.setattr(toxicity_module, "cut", cut)
+    monkeypatch.setattr(toxicity_module, "TASK_ROWS", 20)
+    picked = make([*rows, (999, "no label")]).select("doc_id", "lang", "text")
+    marked = spark.createDataFrame(labels, "doc_id long, y int").groupBy("doc_id").agg(F.max("y").alias("y"))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = toxicity_module._labelled(picked, marked, 60)
+        assert plans == [1]
+        # Seven partitions were dealt out: a round still has a task for every 20 rows.
+        assert got.select(F.spark_partition_id()).distinct().count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert sorted((r.doc_id, r.y, r.text) for r in got.collect()) == sorted((i, y, dict(rows)[i]) for i, y in labels)
