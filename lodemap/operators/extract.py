@@ -23,6 +23,9 @@ FILE = [K, "path"]
 STRINGS = "array<string>"
 IMPORTS = "array<struct<source:string,specifiers:array<string>>>"
 EXPORTS = "array<struct<name:string,is_default:boolean>>"
+#: Bytes of source text that one task turns into lines, at most, and bytes for which a task is worth its start.
+TASK_BYTES = 4 << 20
+LEAST_BYTES = 2 << 20
 
 
 def _none(kind: str = "string") -> Column:
@@ -183,6 +186,18 @@ def _lines_to_close(sums: str, i: Column) -> Column:
     return F.coalesce(*[within(r) for r in (F.lit(8), F.lit(128), F.lit(2048), F.size(sums))])
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """``files`` by file over tasks of ``TASK_BYTES`` of text each, however well it is compressed.
+
+    AQE would go by the bytes of the shuffle, some hundredth of what the rows of lines take. A task costs seconds of its
+    own here (generated code of many windows), so that smaller tables get fewer. The texts are written once and counted there.
+    """
+    laid = cut(files)
+    size = laid.agg(F.sum(F.octet_length("content").cast("long")).alias("n")).first()["n"] or 0
+    few = min(files.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_BYTES))
+    return laid.repartition(max(1, few, -(-size // TASK_BYTES)), *FILE)
+
+
 def lines(files: DataFrame) -> DataFrame:
     """Every line with its blanked views and what its file says about it.
 
@@ -190,8 +205,7 @@ def lines(files: DataFrame) -> DataFrame:
     that it opens closes, ``block_end`` where the braces that open on it or the three lines below close (those of ``closes``,
     if that is further down), ``more`` the lines that continue an open parenthesis, ``stmt`` a joined import or export statement.
     """
-    spread = files.filter(F.col("content").isNotNull()).repartition(*[F.col(c) for c in FILE])
-    views = lex(spread)
+    views = lex(_dealt(files.filter(F.col("content").isNotNull())))
 
     def split(c: str) -> Column:
         all_lines = F.split(c, "\n")

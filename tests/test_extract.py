@@ -253,3 +253,13 @@ def test_statements_of_any_length(spark):
     assert of(found, "functions", "F.kt", "name", "params", "line_end") == [("f", want, 304)]
     assert of(found, "functions", "f.ps1", "name", "params") == [("F", want)]
     assert of(found, "definitions", "t.sql", "name", "fields", "line_end") == [("t", want, 302), ("u", want, 605)]
+
+
+def test_tasks_go_by_bytes_of_text(spark, monkeypatch):
+    """Files that shrink to almost nothing in a shuffle still have to be dealt over tasks."""
+    files = spark.createDataFrame([(1, f"src/a{i}.py", "python", "def f(x):\n" + "    run(x)\n" * 50) for i in range(40)], "repo_id long, path string, language string, content string")
+    want = sorted(map(str, X.marks(files).collect()))
+    monkeypatch.setattr(X, "TASK_BYTES", 2000, raising=False)
+    dealt = X.marks(files)
+    assert dealt.rdd.getNumPartitions() == 12  # 22,440 bytes
+    assert len(want) == 40 * 51 and sorted(map(str, dealt.collect())) == want
