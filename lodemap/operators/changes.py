@@ -183,8 +183,8 @@ def ancestors(commits: DataFrame, starts: DataFrame) -> DataFrame:
     arcs = commits.filter("parent_id is not null").join(starts.select(K).distinct(), K, "left_semi")
     n_arcs = F.coalesce("arcs", F.lit(0))
     sizes = starts.groupBy(K).agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).join(arcs.groupBy(K).agg(F.count("*").alias("arcs")), K, "left")
-    here, others, any_others = split_groups(sizes, K, (F.col("n") + n_arcs <= TASK_ROWS) & (F.col("labels") * n_arcs <= TASK_STEPS))
-    found = _ancestors_in_tasks(arcs.join(here, K, "left_semi"), starts.join(here, K, "left_semi"))
+    here, others, any_others = split_groups(sizes, K, (F.col("n") + n_arcs <= TASK_ROWS) & (F.col("labels") * n_arcs <= TASK_STEPS), F.col("n") + n_arcs)
+    found = _ancestors_in_tasks(arcs.join(here, K), starts.join(here, K))
     if any_others:
         found = found.unionByName(_ancestors_by_jumps(arcs.join(others, K, "left_semi"), starts.join(others, K, "left_semi")))
     return found
@@ -196,29 +196,26 @@ def _ancestors_in_tasks(arcs: DataFrame, starts: DataFrame) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         parents: dict = {}
         reached: dict = {}
-        for commit, parent, label in zip(*(group[c].to_pylist() for c in ("commit_id", "parent_id", "label")), strict=True):
+        for repo, commit, parent, label in zip(*(group[c].to_pylist() for c in (K, "commit_id", "parent_id", "label")), strict=True):
             if parent is not None:
-                parents.setdefault(commit, []).append(parent)
+                parents.setdefault((repo, commit), []).append(parent)
             else:
-                reached.setdefault(label, set()).add(commit)
-        for seen in reached.values():
+                reached.setdefault((repo, label), set()).add(commit)
+        for (repo, _), seen in reached.items():
             todo = list(seen)
             while todo:
-                for parent in parents.get(todo.pop(), ()):
+                for parent in parents.get((repo, todo.pop()), ()):
                     if parent not in seen:
                         seen.add(parent)
                         todo.append(parent)
-        rows = [(label, commit) for label, seen in reached.items() for commit in seen]
-        label, commit = zip(*rows, strict=True) if rows else ((), ())
-        return pa.table({
-            K: pa.array([group[K][0].as_py()] * len(rows), group.schema.field(K).type),
-            "label": pa.array(label, group.schema.field("label").type), "commit_id": pa.array(commit, group.schema.field("commit_id").type),
-        })
+        rows = [(repo, label, commit) for (repo, label), seen in reached.items() for commit in seen]
+        columns = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table({c: pa.array(v, group.schema.field(c).type) for c, v in zip((K, "label", "commit_id"), columns, strict=True)})
 
     none = F.lit(None)
-    rows = arcs.select(K, "commit_id", "parent_id", none.cast(kinds["label"]).alias("label")).unionByName(
-        starts.select(K, "commit_id", none.cast(arcs.schema["parent_id"].dataType).alias("parent_id"), "label"))
-    return rows.groupBy(K).applyInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()))
+    rows = arcs.select("_pack", K, "commit_id", "parent_id", none.cast(kinds["label"]).alias("label")).unionByName(
+        starts.select("_pack", K, "commit_id", none.cast(arcs.schema["parent_id"].dataType).alias("parent_id"), "label"))
+    return rows.groupBy("_pack").applyInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()))
 
 
 def _ancestors_by_jumps(commits: DataFrame, starts: DataFrame) -> DataFrame:
@@ -330,8 +327,9 @@ def freshness(builds: DataFrame, heads: DataFrame, commits: DataFrame, commit_fi
     starts = moved.select(K, F.explode(F.array(
         F.struct(F.lit("graph").alias("label"), F.col("graph_commit").alias("commit_id")),
         F.struct(F.lit("head").alias("label"), F.col("head").alias("commit_id")))).alias("s")).select(K, "s.label", "s.commit_id")
-    sides = ancestors(commits.join(moved.select(K).distinct(), K, "left_semi"), starts).groupBy(K, "commit_id").agg(
-        F.max(F.col("label") == "graph").alias("in_graph"), F.max(F.col("label") == "head").alias("in_head"))
+    # Counts, tips and files read the walked commits; they are walked once.
+    sides = cut(ancestors(commits.join(moved.select(K).distinct(), K, "left_semi"), starts).groupBy(K, "commit_id").agg(
+        F.max(F.col("label") == "graph").alias("in_graph"), F.max(F.col("label") == "head").alias("in_head")))
     one_side = sides.filter("in_graph <> in_head")
     touched = commit_files.filter(outside).select(K, F.col("commit_id"), "path")
     differing = one_side.join(touched, [K, "commit_id"])
