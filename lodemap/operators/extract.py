@@ -24,8 +24,8 @@ STRINGS = "array<string>"
 IMPORTS = "array<struct<source:string,specifiers:array<string>>>"
 EXPORTS = "array<struct<name:string,is_default:boolean>>"
 #: Bytes of source text that one task turns into lines, at most, and bytes for which a task is worth its start.
-TASK_BYTES = 4 << 20
-LEAST_BYTES = 2 << 20
+TASK_BYTES = 1 << 20
+LEAST_BYTES = 512 << 10
 
 
 def _none(kind: str = "string") -> Column:
@@ -186,26 +186,26 @@ def _lines_to_close(sums: str, i: Column) -> Column:
     return F.coalesce(*[within(r) for r in (F.lit(8), F.lit(128), F.lit(2048), F.size(sums))])
 
 
-def _dealt(files: DataFrame) -> DataFrame:
+def _dealt(files: DataFrame, written: bool) -> DataFrame:
     """``files`` by file over tasks of ``TASK_BYTES`` of text each, however well it is compressed.
 
     AQE would go by the bytes of the shuffle, some hundredth of what the rows of lines take. A task costs seconds of its
-    own here (generated code of many windows), so that smaller tables get fewer. The texts are written once and counted there.
+    own here (generated code of many windows), so that smaller tables get fewer. Texts are written once, if they aren't yet, and counted there.
     """
-    laid = cut(files)
+    laid = files if written else cut(files)
     size = laid.agg(F.sum(F.octet_length("content").cast("long")).alias("n")).first()["n"] or 0
     few = min(files.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_BYTES))
     return laid.repartition(max(1, few, -(-size // TASK_BYTES)), *FILE)
 
 
-def lines(files: DataFrame) -> DataFrame:
+def lines(files: DataFrame, written: bool = False) -> DataFrame:
     """Every line with its blanked views and what its file says about it.
 
     ``line`` counts from 1. ``depth`` is the bracket depth at its start, ``closes`` the line below on which a parenthesis
     that it opens closes, ``block_end`` where the braces that open on it or the three lines below close (those of ``closes``,
     if that is further down), ``more`` the lines that continue an open parenthesis, ``stmt`` a joined import or export statement.
     """
-    views = lex(_dealt(files.filter(F.col("content").isNotNull())))
+    views = lex(_dealt(files.filter(F.col("content").isNotNull()), written))
 
     def split(c: str) -> Column:
         all_lines = F.split(c, "\n")
@@ -495,12 +495,12 @@ def _script_lines(df: DataFrame) -> DataFrame:
     )
 
 
-def marks(files: DataFrame) -> DataFrame:
+def marks(files: DataFrame, written: bool = False) -> DataFrame:
     """Lines of code that declare or call something, with the declarations of their members: the one pass over source."""
     down = Window.partitionBy(*FILE).orderBy("line")
     past = down.rowsBetween(Window.unboundedPreceding, -1)
     upto = down.rowsBetween(Window.unboundedPreceding, 0)
-    all_lines = _with_prev(_script_lines(lines(files.filter(F.col("language").isin(P.CODE_LANGUAGES)))))
+    all_lines = _with_prev(_script_lines(lines(files.filter(F.col("language").isin(P.CODE_LANGUAGES)), written)))
     go = F.col("language") == "go"
     event = F.when(go & F.col("code").startswith("import ("), 1).when(go & F.col("code").startswith(")"), 0)
     state = (
@@ -613,10 +613,10 @@ def call_sites(m: DataFrame, functions: DataFrame) -> DataFrame:
 SECTION = [K, "path", "decl_seq", "name", "level", "line_start", "line_end"]
 
 
-def other_lines(files: DataFrame) -> DataFrame:
+def other_lines(files: DataFrame, written: bool = False) -> DataFrame:
     """Lines of documents, configuration, schemas and markup with the windows their rules share."""
     keep = [K, "path", "language", "n", "line", "raw", "code", "blank", "indent", "depth", "block_end", "closes"]
-    return _with_prev(lines(files.filter(F.col("language").isin(P.OTHER_LANGUAGES))).select(*keep))
+    return _with_prev(lines(files.filter(F.col("language").isin(P.OTHER_LANGUAGES)), written).select(*keep))
 
 
 def _seq() -> Column:
@@ -907,12 +907,14 @@ PACKS = [markdown, yaml, json, toml, env, dockerfile, sql, graphql, protobuf, te
 def extract(files: DataFrame) -> dict[str, DataFrame]:
     """All declaration tables of ``files(repo_id, path, language, content)``.
 
-    Source text is read twice at most: once for code, once for the rest. Both results - the declaring lines, far fewer
-    than the lines - are written to the checkpoint folder, and every table is derived from there. Files of languages
-    without rules simply appear in none of the tables.
+    Source text is written once, and read from there twice: once for code, once for the rest. Both results - the declaring
+    lines, far fewer than the lines - are written to the checkpoint folder, and every table is derived from there. Files of
+    languages without rules simply appear in none of the tables.
     """
-    tables = code_tables(cut(marks(files)))
-    o = cut(other_lines(files))
+    # Filtered only then: a filter on the language would be worked out where the rows are read, which may be one task.
+    laid = cut(files.select(K, "path", "language", "content"))
+    tables = code_tables(cut(marks(laid, written=True)))
+    o = cut(other_lines(laid, written=True))
     found: dict[str, list[DataFrame]] = {}
     for pack in PACKS:
         for kind, df in pack(o).items():

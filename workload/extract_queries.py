@@ -49,7 +49,7 @@ FILES_SQL = f"""select p_partkey % 7 as repo_id, {_filled(f"(case p_partkey % {M
 
 
 def files(spark, sf):
-    return with_language(query(spark, sf, FILES_SQL))
+    return with_language(query(spark, sf, FILES_SQL, dealt=("part",)))
 
 
 def q_packs(spark, sf):

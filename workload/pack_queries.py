@@ -54,7 +54,7 @@ FILES_SQL = f"select p_partkey % 7 as repo_id, {PATH} as path, repeat(chr(10), p
 
 
 def files(spark, sf):
-    return with_language(query(spark, sf, FILES_SQL))
+    return with_language(query(spark, sf, FILES_SQL, dealt=("part",)))
 
 
 def declared(tables):

@@ -163,11 +163,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def query(spark: SparkSession, sf: str, sql: str) -> DataFrame:
-    """Run ``sql`` over the driver's tables and the views above; no temporary views are left behind."""
+def query(spark: SparkSession, sf: str, sql: str, dealt: tuple[str, ...] = ()) -> DataFrame:
+    """Run ``sql`` over the driver's tables and the views above; no temporary views are left behind.
+
+    Rows of the tables in ``dealt`` are dealt over all tasks: a small file of many rows is one task, whatever is made of a row.
+    """
+    hint = f"/*+ REPARTITION({spark.conf.get('spark.sql.shuffle.partitions')}) */ "
     views = _needs("spark", sql)
     text = " ".join([sql, *[SPARK_VIEWS[v] for v in views]])
-    ctes = [f"{t} as (select * from parquet.`{sf}/{t}.parquet`)" for t in TABLES if re.search(rf"\b{t}\b", text)]
+    ctes = [f"{t} as (select {hint if t in dealt else ''}* from parquet.`{sf}/{t}.parquet`)" for t in TABLES if re.search(rf"\b{t}\b", text)]
     ctes += [f"{v} as ({SPARK_VIEWS[v]})" for v in views]
     return spark.sql("with " + ",\n".join(ctes) + "\n" + sql)
 
