@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodemap.functions import dims
-from lodemap.plans.cut import cut, first_rows
+from lodemap.plans.cut import cut, first_rows, spread
 
 K = "repo_id"
 WORST = 0.4
@@ -27,9 +27,14 @@ WORST = 0.4
 SCALE = {"name": 1.0, "tags": 0.4 / 0.3, "summary": 2.0, "notes": 4.0}
 #: Letter classes: small Latin letters and digits have one each (code points modulo 75), others share.
 CLASSES = 75
-#: Parts that the rows under one key or one text are dealt into.
+#: Parts that the rows under one key or one text are dealt into, one text's nodes by so many at least.
 SALTS = 16
+TEXT_ROWS = 400
 PREFIX = 3
+#: Letters of a word that are followed as columns; a lambda follows the rest, which costs some ten times as much a letter.
+STEPS = 12
+#: Requests of the same words that one part of them holds.
+ASKERS = 1000
 
 
 def _letters(text: Column) -> Column:
@@ -52,46 +57,56 @@ def _heads(text: Column) -> Column:
 
 
 def _keyed(df: DataFrame, text: str) -> DataFrame:
-    """``df(field, ...)`` with the keys of its column ``text`` in ``keys``.
+    """``df(field, ...)``, a row for each key of its column ``text``: ``key``, and in ``text``_held the classes of names and tags as bits.
 
-    Names and tags: single classes, and every two of which one occurs somewhere after the other. Steps are columns of their own, as a
-    lambda would work out again for each letter what it refers to.
+    Names and tags: single classes, and every two of which one occurs somewhere after the other. Two classes meet as rows and the arrays
+    are searched by plain functions, as lambdas take some twenty times as long. Steps are columns of their own, else each use works them
+    out again; outer, else a filter for empty lists does.
     """
-    ordered = F.col("field").isin("name", "tags")
-    met = F.transform(F.array_distinct("_classes"), lambda c: F.struct(
-        c.alias("c"), F.array_position("_classes", c).alias("first"), (F.size("_classes") + 1 - F.array_position("_back", c)).alias("last")))
-    pairs = F.flatten(F.transform("_met", lambda a: F.transform(
-        F.filter("_met", lambda b: a["first"] < b["last"]), lambda b: (a["c"] + 1) * CLASSES + b["c"])))
-    numbers = F.transform(F.concat(F.transform("_met", lambda a: a["c"]), pairs), lambda n: n.cast("string"))
-    value = F.col(text)
-    return (
-        df.withColumn("_classes", F.when(ordered, F.transform(_letters(value), _class))).withColumn("_back", F.reverse("_classes"))
-        .withColumn("_met", F.when(ordered, met))
-        .withColumn("keys", F.when(ordered, numbers).when(F.col("field") == "summary", _adjacent(value)).otherwise(_heads(value)))
-        .drop("_classes", "_back", "_met")
+    ordered, value, held = F.col("field").isin("name", "tags"), F.col(text), f"{text}_held"
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    met = (
+        df.filter(ordered).withColumn("_classes", F.transform(_letters(value), _class)).withColumn("_back", F.reverse("_classes"))
+        .withColumn("_met", F.array_distinct("_classes")).withColumn("_after", F.concat(F.array(F.lit(-1)), "_met"))
+        .withColumn(held, F.aggregate("_met", zero, lambda acc, c: acc.bitwiseOR(F.call_function("shiftleft", one, c % 64))))
+        .select("*", F.explode_outer("_met").alias("_a")).withColumn("_first", F.array_position("_classes", F.col("_a")))
+        .select("*", F.explode_outer("_after").alias("_b"))
+        .filter((F.col("_b") < 0) | (F.col("_first") < F.size("_classes") + 1 - F.array_position("_back", F.col("_b"))))
     )
-
-
-def letters_in_order(text: Column, token: Column) -> Column:
-    """0.26 to 0.4 when the token's letters occur in order, each taken where it comes first; null otherwise."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("adjacent"))
+    number = F.when(F.col("_b") < 0, F.col("_a")).otherwise((F.col("_a") + 1) * CLASSES + F.col("_b"))
+    keys = F.when(F.col("field") == "summary", _adjacent(value)).otherwise(_heads(value))
+    return met.select(*df.columns, held, number.cast("string").alias("key")).unionByName(
+        df.filter(~ordered).select(*df.columns, zero.alias(held), F.explode_outer(keys).alias("key")))
+
+
+def _follow(df: DataFrame) -> DataFrame:
+    """``df(value, token, _letters)`` with ``_walk``: where the last of the token's letters was met, each taken where it comes first, and
+    how many stand right behind the one before; null where one is missing. Texts that hold the whole token are not walked."""
+    text, size = F.col("value"), F.size("_letters")
+    df = df.withColumn("_in", F.position("token", "value")).select(
+        "*", F.when(F.col("_in") == 0, F.position(F.get("_letters", 0), text)).otherwise(0).alias("_at_0"), F.lit(0).alias("_beside_0"))
+    for i in range(1, STEPS):
+        before = F.col(f"_at_{i - 1}")
+        df = df.withColumn(f"_at_{i}", F.when((before == 0) | (size <= i), before).otherwise(F.position(F.get("_letters", i), text, before + 1)))
+        df = df.withColumn(f"_beside_{i}", F.col(f"_beside_{i - 1}") + F.when((size > i) & (F.col(f"_at_{i}") == before + 1) & (before > 0), 1).otherwise(0))
+    at, beside = F.col(f"_at_{STEPS - 1}"), F.col(f"_beside_{STEPS - 1}")
+    here = F.struct(at.alias("at"), beside.alias("adjacent"))
 
     def step(state: Column, letter: Column) -> Column:
         at = F.position(letter, text, state["at"] + 1)
-        beside = ((at == state["at"] + 1) & (state["at"] > 0)).cast("int")
-        return F.when(at > 0, F.struct(at.alias("at"), (state["adjacent"] + beside).alias("adjacent")))
+        behind = ((at == state["at"] + 1) & (state["at"] > 0)).cast("int")
+        return F.when(at > 0, F.struct(at.alias("at"), (state["adjacent"] + behind).alias("adjacent")))
 
-    m = F.length(token)
-    found = F.aggregate(_letters(token), start, step)
-    score = F.greatest(F.lit(0.26), 0.40 - found["adjacent"] / (m - 1) * 0.12 - m / F.length(text) * 0.05)
-    return F.when((m > 1) & found.isNotNull(), score)
+    rest = F.aggregate(F.slice("_letters", STEPS + 1, F.greatest(size, F.lit(1))), here, step)
+    return df.withColumn("_walk", F.when(at > 0, F.when(size <= STEPS, here).otherwise(rest)))
 
 
-def field_score(text: Column, token: Column) -> Column:
-    """0 for equal texts, 0.05 for a prefix, 0.12 and up inside, then letters in order; null where nothing matches."""
+def field_score(text: Column, token: Column, walk: Column) -> Column:
+    """0 for equal texts, 0.05 for a prefix, 0.12 and up inside, then 0.26 to 0.4 for letters in order; null where nothing matches."""
     n, m, at = F.length(text), F.length(token), F.position(token, text)
     inside = F.lit(0.12) + F.least(F.lit(0.2), (at - 1) / n * 0.2) + (1 - m / F.greatest(m, n)) * 0.18
-    return F.when(text == token, 0.0).when(F.startswith(text, token), 0.05).when(at > 0, inside).otherwise(letters_in_order(text, token))
+    loose = F.when((m > 1) & walk.isNotNull(), F.greatest(F.lit(0.26), 0.40 - walk["adjacent"] / (m - 1) * 0.12 - m / n * 0.05))
+    return F.when(text == token, 0.0).when(F.startswith(text, token), 0.05).when(at > 0, inside).otherwise(loose)
 
 
 def _requests(requests: DataFrame) -> DataFrame:
@@ -125,30 +140,32 @@ def match_texts(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     Texts without letters and empty tables match nothing.
     """
     every = F.explode(F.array(*[F.lit(f) for f in SCALE]))
-    # Outer, though no text is without keys: else Spark works out all keys a second time, in a filter for empty lists.
-    asked = _keyed(tokens.select("token", every.alias("field")), "token").select("field", "token", F.explode_outer("keys").alias("key"))
-    # Keys cost time, not bytes, so texts are spread over as many tasks as a shuffle has.
-    spread = texts.select("field", "value").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "field", "value")
-    postings = _keyed(spread, "value").select("field", "value", F.explode_outer("keys").alias("key"))
-    counts = postings.groupBy("field", "key").agg(F.count("*").alias("n"))  # combined in each task: few keys leave it
+    # Keys cost time, not bytes, so words and texts are spread over as many tasks as a shuffle has, by a value that no grouping before
+    # has dealt them by (else Spark drops the exchange).
+    asked = _keyed(spread(tokens.select("token", every.alias("field")).withColumn("_deal", F.xxhash64("field", "token")), "_deal").drop("_deal"), "token")
+    keyed = _keyed(spread(texts.select("field", "value", F.xxhash64("field", "value").alias("_deal")), "_deal").drop("_deal"), "value")
+    counts = keyed.groupBy("field", "key").agg(F.count("*").alias("n"))  # combined in each task: few keys leave it
     # A key that no text has rules its word out.
-    chosen = asked.join(counts, ["field", "key"], "left").groupBy("field", "token").agg(
+    chosen = cut(asked.join(counts, ["field", "key"], "left").groupBy("field", "token", "token_held").agg(
         F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), F.col("key"))).alias("key"), F.count_if(F.col("n").isNull()).alias("absent"),
-    ).filter("absent = 0").drop("absent")
+    ).filter("absent = 0").drop("absent"))
+    # Names and tags have many keys, of which only those that a word looks under are moved: some 11,000 at most, whatever the input.
+    ordered = F.col("field").isin("name", "tags")
+    looked = F.broadcast(chosen.filter(ordered).select("field", "key").distinct().withColumn("_looked", F.lit(True)))
+    postings = keyed.join(looked, ["field", "key"], "left").filter(F.col("_looked") | ~ordered).drop("_looked")
     # A frequent key's texts are dealt into parts, and each part meets all words that look there.
     dealt = postings.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
-    looking = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    text, token = F.col("value"), F.col("token")
+    looking = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("_letters", _letters(F.col("token")))
+    text, token, held = F.col("value"), F.col("token"), F.col("token_held")
     starts = F.startswith(text, token)
     possible = F.when(F.col("field") == "notes", starts).when(
         F.col("field") == "summary", starts | ((F.length(text) * 5 <= F.length(token) * 9) & F.contains(text, token))).otherwise(
         F.length(text) >= F.length(token))
+    pairs = dealt.join(looking, ["field", "key", "part"]).filter((F.col("value_held").bitwiseAND(held) == held) & possible)
     scale = F.element_at(F.create_map(*[F.lit(x) for kv in SCALE.items() for x in kv]), F.col("field"))
-    return (
-        dealt.join(looking, ["field", "key", "part"]).filter(possible)
-        .select("field", "value", "token", F.round(F.least(F.lit(1.0), field_score(text, token) * scale), 6).alias("score"))
-        .filter(F.col("score") <= WORST)
-    )
+    score = F.round(F.least(F.lit(1.0), field_score(text, token, F.col("_walk")) * scale), 6)
+    # Exploded, else Spark works out the score a second time, in a filter before it.
+    return _follow(pairs).select("field", "value", "token", F.explode_outer(F.array(score)).alias("score")).filter(F.col("score") <= WORST)
 
 
 def search_requests(nodes: DataFrame, requests: DataFrame, limit: int = 50, types: list[str] | None = None) -> DataFrame:
@@ -161,13 +178,16 @@ def search_requests(nodes: DataFrame, requests: DataFrame, limit: int = 50, type
     wanted = cut(_requests(requests))
     words = cut(wanted.select("asked").distinct()).select("asked", F.explode(F.split("asked", " ")).alias("token"))
     fields = cut(_fields(nodes if types is None else nodes.filter(F.col("type").isin(types)), limit))
-    matches = match_texts(fields.select("field", "value").distinct(), words.select("token").distinct())
+    # A text that many repositories have is dealt out by repository.
+    texts = cut(fields.groupBy("field", "value").agg(
+        F.least(F.lit(SALTS), F.ceil(F.count("*") / TEXT_ROWS)).cast("int").alias("parts")))
+    matches = match_texts(texts, words.select("token").distinct())
     best = matches.join(words, "token").groupBy("field", "value", "asked").agg(F.min("score").alias("score"))
-    # A text that many repositories have is dealt out by repository. It stands for its first node there: a node bears a text in each
+    # It stands for its first node there: a node bears a text in each
     # field at most, so ``limit`` nodes come before all nodes of texts beyond the first ``limit`` times the fields.
     firsts = fields.groupBy(K, "field", "value").agg(F.min(F.struct("_o", "id")).alias("_first"))
-    dealt = firsts.withColumn("part", F.pmod(F.xxhash64(K), F.lit(SALTS)).cast("int"))
-    looking = best.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = firsts.join(texts, ["field", "value"]).withColumn("part", F.pmod(F.xxhash64(K), F.col("parts")).cast("int"))
+    looking = best.join(texts, ["field", "value"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     ahead = first_rows(
         dealt.join(looking, ["field", "value", "part"]).select(K, "asked", "field", "value", "score", "_first"),
         [K, "asked"], ["score", "_first"], len(SCALE) * limit)
@@ -175,8 +195,31 @@ def search_requests(nodes: DataFrame, requests: DataFrame, limit: int = 50, type
     here = F.col(K).eqNullSafe(F.col("_k")) & (F.col("field") == F.col("_f")) & (F.col("value") == F.col("_v"))
     hits = fields.join(ahead, here).groupBy(K, "asked", "id").agg(F.min("score").alias("score"), F.min("_o").alias("_o"))
     listed = first_rows(hits, [K, "asked"], ["score", "_o", "id"], limit)
-    # Lists go to all who asked; the best of an id's lists are the best of all its words.
-    told = listed.join(wanted, "asked").repartition(K, "query_id").groupBy(K, "query_id", "id").agg(
-        F.min("score").alias("score"), F.min("_o").alias("_o"))
+    return _tell(listed, wanted, limit)
+
+
+def _tell(listed: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
+    """The lists ``listed(repo_id, asked, id, score, _o)`` to all who asked, ranked: ``wanted(query_id, asked)``.
+
+    A list is one row until it is told. Most requests have one text, whose lists they take as they are; who has several gets the best
+    of them ranked anew.
+    """
+    lists = listed.groupBy(K, "asked").agg(F.array_sort(F.collect_list(F.struct("score", "_o", "id"))).alias("_list"))
+    who = cut(wanted.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("asked").alias("asked")))
+    # Words that very many asked for are dealt into parts; few bytes make many rows here, so all tasks get some.
+    one = who.filter("_n = 1").select("query_id", "asked")
+    parts = one.groupBy("asked").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("_parts"))
+    askers = spread(one.join(parts, "asked").select(
+        "query_id", "asked", F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int").alias("_part")), "asked", "_part")
+    dealt = lists.join(parts, "asked").select(K, "asked", "_list", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    told = dealt.join(askers, ["asked", "_part"]).select(K, "query_id", F.posexplode("_list").alias("_at", "_hit")).select(
+        K, "query_id", "_hit.id", "_hit.score", (F.col("_at") + 1).alias("hit_rank"))
+    many = who.filter("_n > 1").select(F.col("query_id").alias("_q"))
+    if many.isEmpty():
+        return told
+    several = wanted.join(many, F.col("query_id").eqNullSafe(F.col("_q")), "left_semi")
+    again = lists.join(several, "asked").select(K, "query_id", F.explode("_list").alias("_hit")).groupBy(
+        K, "query_id", F.col("_hit.id").alias("id")).agg(F.min("_hit.score").alias("score"), F.min("_hit._o").alias("_o"))
     w = Window.partitionBy(K, "query_id").orderBy("score", "_o", "id")
-    return told.withColumn("hit_rank", F.row_number().over(w)).filter(F.col("hit_rank") <= limit).drop("_o")
+    ranked = again.withColumn("hit_rank", F.row_number().over(w)).filter(F.col("hit_rank") <= limit).drop("_o")
+    return told.unionByName(ranked)

@@ -67,3 +67,21 @@ def test_nodes_meet_only_texts_that_can_be_listed(spark, rows, monkeypatch):
     got = S.search_requests(nodes, asked, 2)
     assert rows(got, "repo_id", "id", "hit_rank") == [(0, "n000", 1), (0, "n001", 2), (None, "n000", 1), (None, "n001", 2)]
     assert sizes == [0, 2 * 8, 2 * 2]
+
+
+def test_lists_are_one_row_until_told(spark, rows, monkeypatch):
+    """Who asks one text takes its list as it is, dealt into parts where many ask; only the rows of the others are ranked anew."""
+    monkeypatch.setattr(S, "ASKERS", 2)
+    long = "abcdefghijklmnopqrstuvwxyz"
+    nodes = spark.createDataFrame([(k, f"n{i}", f"{'match' if i else long}{i}") for k in (0, None) for i in range(4)], "repo_id long, id string, name string")
+    asked = {**{f"q{i}": "match" for i in range(7)}, "loose": "acegikmoqsuwyz0", "far": "acegikmoqsuwyz1", "back": "zyxwvutsrqponmlk"}
+    one = spark.createDataFrame(list(asked.items()), "query_id string, text string")
+    got = S.search_requests(nodes, one, 2)
+    cols = ("repo_id", "query_id", "id", "score", "hit_rank")
+    assert rows(got, *cols) == rows(G.search(nodes, asked, 2), *cols) and got.count() == 2 * (7 * 2 + 1)
+    told = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in told and "row_number() windowspecdefinition(repo_id" not in told.split("posexplode")[0]
+    both = one.union(spark.createDataFrame([("q0", long), (None, long), (None, "match3")], one.schema))
+    mixed = rows(S.search_requests(nodes, both, 2), *cols)
+    assert [r[2:] for r in mixed if r[:2] == (0, "q0")] == [("n0", 0.05, 1), ("n1", 0.05, 2)] and len(mixed) == 2 * (7 * 2 + 1 + 2)
+    assert [r[2:] for r in mixed if r[:2] == (None, None)] == [("n0", 0.05, 2), ("n3", 0.0, 1)]
